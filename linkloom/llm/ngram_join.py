@@ -38,14 +38,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import _bitmap
 from . import _bytes as B
 from ._graph import components
 from ._workspace import Workspace
 
 #: Cells of the table that orders shingles: 2^BITS counts of one byte are broadcast.
 BITS, PART = 20, 1 << 14
-#: Bits of the map of documents that have candidates: 2^MAP_BITS / 8 bytes are broadcast.
-MAP_BITS = 23
 #: Entries of an index block.
 BLOCK = 64
 _SHIFT = np.uint64(64 - BITS)
@@ -194,8 +193,7 @@ def _chosen(bitmap):
 
     def run(batches):
         for batch in batches:
-            slot = batch.column("slot").to_numpy()
-            batch = batch.filter(pa.array((bitmap.value[slot >> 5] >> (slot & 31)) & 1 == 1))
+            batch = batch.filter(pa.array(_bitmap.hit(bitmap, batch.column("slot").to_numpy())))
             texts = [zlib.compress(x or b"", 1) for x in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.record_batch([batch.column("node"), pa.array(texts, pa.binary())], names=["node", "packed"])
 
@@ -233,16 +231,6 @@ def _verify(k: int, lower: bool, num: int, den: int):
     return run
 
 
-def _bitmap(nodes: DataFrame):
-    """2^MAP_BITS bits of the nodes' hashes; at most that many leave for the driver, whatever the input."""
-    slot = f"(xxhash64(node) & {(1 << MAP_BITS) - 1})"
-    words = nodes.selectExpr(f"cast(shiftright({slot}, 5) as int) word", f"shiftleft(1L, cast({slot} & 31 as int)) bit")
-    out = np.zeros(1 << (MAP_BITS - 5), np.int64)
-    got = words.groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).toArrow()
-    out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
-    return out
-
-
 def _node() -> Column:
     """The document: its id, or, without one, a number far below any id, made from its set."""
     return F.coalesce(F.col("id"), F.lit(-(1 << 62)) - F.shiftrightunsigned(F.xxhash64("d1", "d2"), 3))
@@ -274,15 +262,14 @@ def ngram_jaccard_groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5
         entries = entries.repartition("key").sortWithinPartitions("key", "n", "pos", "node")
         live = ws.table(entries.mapInArrow(_chains(num, den), "key long, node long, n long, pos int, before long, best long"), "live")
 
-        slot = F.xxhash64("node").bitwiseAND(F.lit((1 << MAP_BITS) - 1)).alias("slot")
         nodes = live.select("node").distinct()
-        bitmap = spark.sparkContext.broadcast(_bitmap(nodes))
+        bitmap = _bitmap.build(nodes, "node")
         named = rows.where("n > 0").select("id", "d1", "d2", "node")
         if named.where("id is null").limit(1).count():  # such rows are known by their digests alone
             texts = source.mapInArrow(_texts_of_nameless(k, lower), "id long, d1 long, d2 long, text string").select(_node().alias("node"), "text")
         else:
             texts = source.where("id is not null").select(F.col("id").alias("node"), "text")
-        texts = texts.select("node", "text", slot).mapInArrow(_chosen(bitmap), "node long, packed binary")
+        texts = texts.select("node", "text", _bitmap.slot("node").alias("slot")).mapInArrow(_chosen(bitmap), "node long, packed binary")
         texts = ws.table(texts.join(nodes, "node", "left_semi").distinct(), "texts")
 
         def verified(pairs: DataFrame) -> DataFrame:
@@ -351,3 +338,22 @@ def _rest(live: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
         and (1 + least(m - item.pos - 1, n - o.pos - 1)) * {num + den} >= {num} * (m + n)), o -> o.node)""")
     pairs = pairs.select(F.col("item.node").alias("node"), F.explode(partners).alias("other"))
     return pairs.select(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y")).where("x <> y").distinct()
+
+
+def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, lower: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of linked rows: that of the least id.
+
+    Rows without any word stay.  Where ids are null or repeat, rows are told apart
+    by a number of their own, for which the table is written once.
+    """
+    with Workspace(docs.sparkSession, "keep-one") as ws:
+        row = id_col
+        if docs.groupBy(id_col).count().where(F.col(id_col).isNull() | (F.col("count") > 1)).limit(1).count():
+            row = "_row"
+            docs = ws.table(docs.withColumn(row, F.monotonically_increasing_id()), "docs")
+        groups = ngram_jaccard_groups(docs, k, num, den, lower, row, text_col)
+        gone = groups.where(F.col(row) != F.col("component_id")).select(row)
+        shared = _bitmap.build(gone, row)
+        maybe = _bitmap.only(docs, shared, [row], True).join(gone, row, "left_anti").select(docs.columns)
+        out = _bitmap.only(docs, shared, [row], False).unionByName(maybe)
+        return ws.finish(out.drop(row)) if row != id_col else out

@@ -42,14 +42,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from . import _bitmap
 from . import _bytes as B
 from ._workspace import Workspace
 
 GRAM = 48
 #: Bytes of contexts that one suffix array covers, and contexts of one key that go to one shard.
 SHARD, MOST_CONTEXTS = 3 << 20, 8_192
-MAP_BITS = 23
 
 
 def text_id(raw: bytes) -> tuple[int, int]:
@@ -345,8 +346,8 @@ def _shards(length: int):
     return run
 
 
-def _outcome(length: int):
-    """What is left of each text, from its spans."""
+def _outcome(texts: bool):
+    """What is left of each text, from its spans: its digest, and the text if asked for."""
 
     def run(batches):
         for batch in batches:
@@ -364,7 +365,7 @@ def _outcome(length: int):
                     removed, at = removed + b - a, b
                 kept.append(raw[at:])
                 left = b"".join(kept)
-                out.append((removed, len(runs), hashlib.sha256(left).hexdigest(), left))
+                out.append((removed, len(runs), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore").encode() if texts else b""))
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
             yield pa.record_batch([batch.column("t1"), batch.column("t2"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], names=["t1", "t2", "n_removed", "n_spans", "kept_sha256", "kept"])
 
@@ -380,38 +381,32 @@ def _named(batches):
         yield pa.record_batch([batch.column("id"), pa.array([x[0] for x in ids], pa.int64()), pa.array([x[1] for x in ids], pa.int64()), pa.array([len(x) for x in texts], pa.int64()), pa.array(sha, pa.string())], names=["id", "t1", "t2", "n_bytes", "sha"])
 
 
-def _chosen(bitmap):
-    def run(batches):
-        for batch in batches:
-            out: dict = {}
-            for raw in batch.column("text").cast(pa.binary()).to_pylist():
-                t = text_id(raw or b"")
-                slot = t[0] & ((1 << MAP_BITS) - 1)
-                if t not in out and bitmap.value[slot >> 5] >> (slot & 31) & 1:
-                    out[t] = zlib.compress(raw or b"", 1)
-            yield pa.record_batch([pa.array([t[0] for t in out], pa.int64()), pa.array([t[1] for t in out], pa.int64()), pa.array(list(out.values()), pa.binary())], names=["t1", "t2", "packed"])
+def _packed(batches):
+    """Texts by id, deflated."""
+    for batch in batches:
+        texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
+        ids = [text_id(x) for x in texts]
+        yield pa.record_batch([pa.array([x[0] for x in ids], pa.int64()), pa.array([x[1] for x in ids], pa.int64()), pa.array([zlib.compress(x, 1) for x in texts], pa.binary())], names=["t1", "t2", "packed"])
 
-    return run
 
+def _identified(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with the ids t1 and t2 of their texts."""
 
-def _bitmap(found: DataFrame) -> np.ndarray:
-    """2^MAP_BITS bits of text ids: the most that the driver gets, whatever the input."""
-    slot = f"(t1 & {(1 << MAP_BITS) - 1})"
-    words = found.selectExpr(f"cast(shiftright({slot}, 5) as int) word", f"shiftleft(1L, cast({slot} & 31 as int)) bit")
-    got = words.groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).toArrow()
-    out = np.zeros(1 << (MAP_BITS - 5), np.int64)
-    out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
-    return out
+    def run(batches):
+        for batch in batches:
+            ids = [text_id(x or b"") for x in batch.column(text_col).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in ids], pa.int64()), pa.array([x[1] for x in ids], pa.int64())], names=[*batch.schema.names, "t1", "t2"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("t1", T.LongType()), T.StructField("t2", T.LongType())]))
 
 
-def _find(texts: DataFrame, length: int, ws: Workspace) -> DataFrame:
+def _find(texts: DataFrame, length: int, ws: Workspace, kept: bool = False) -> DataFrame:
     """(t1, t2, n_removed, n_spans, kept_sha256, kept) of the texts that lose something to another or to themselves."""
-    spark = texts.sparkSession
     items = texts.mapInArrow(_anchors(length), ITEM).repartition("key").sortWithinPartitions("key", "context", "t1", "t2", "first")
     company = ws.table(items.mapInArrow(_company, ITEM + ", whole boolean"), "company")
-    bitmap = spark.sparkContext.broadcast(_bitmap(company))
     wanted = company.select("t1", "t2").distinct()
-    packed = texts.mapInArrow(_chosen(bitmap), "t1 long, t2 long, packed binary").join(wanted, ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])
+    chosen = _bitmap.only(_identified(texts, "text"), _bitmap.build(wanted, "t1", "t2"), ["t1", "t2"], True)
+    packed = chosen.join(wanted, ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"]).select("text").mapInArrow(_packed, "t1 long, t2 long, packed binary")
     packed = ws.table(packed, "texts")
 
     several = company.where("not whole")
@@ -429,7 +424,7 @@ def _find(texts: DataFrame, length: int, ws: Workspace) -> DataFrame:
     whole = company.where("whole").select("t1", "t2", F.col("first").alias("start"), (F.col("last") + length).cast("int").alias("stop"))
     every = spans.where("f1 is null").select("t1", "t2", "start", "stop").union(merged).union(whole)
     every = every.groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return every.join(packed, ["t1", "t2"]).mapInArrow(_outcome(length), "t1 long, t2 long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return every.join(packed, ["t1", "t2"]).mapInArrow(_outcome(kept), "t1 long, t2 long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -446,3 +441,26 @@ def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
             F.when(F.col("copied"), F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
             F.when(F.col("copied"), F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"))
         return ws.finish(out)
+
+
+def strip_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
+    """``docs`` without the repeated bytes; rows of which no word is left go.
+
+    Bytes are cut as they are found; a character that a cut parts goes with it.
+    ``size_col``, if there is such a column, becomes the characters of what is left.
+    """
+    with Workspace(docs.sparkSession, "strip") as ws:
+        texts = docs.select(docs[text_col].alias("text"))
+        found = ws.table(_find(texts, length, ws, kept=True).select("t1", "t2", "kept"), "found")
+        rows = _identified(docs, text_col)
+        copies = _identified(texts.where(F.octet_length("text") >= length), "text").groupBy("t1", "t2").agg(F.count("*").alias("n")).where("n > 1").select("t1", "t2", F.lit(True).alias("copied"))
+        changed = ws.table(found.join(copies, ["t1", "t2"], "full").select("t1", "t2", F.when(F.col("copied"), F.lit(b"")).otherwise(F.col("kept")).alias("kept")), "changed")
+        shared = _bitmap.build(changed, "t1", "t2")
+        same = _bitmap.only(rows, shared, ["t1", "t2"], False).drop("t1", "t2")
+        left = _bitmap.only(rows, shared, ["t1", "t2"], True).join(changed, ["t1", "t2"], "left")
+        text = F.when(F.col("kept").isNull(), F.col(text_col)).otherwise(F.col("kept").cast("string"))
+        left = left.withColumn(text_col, text)
+        if size_col in docs.columns:
+            left = left.withColumn(size_col, F.when(F.col("kept").isNull(), F.col(size_col)).otherwise(F.length(text_col)).cast(docs.schema[size_col].dataType))
+        left = left.where(F.col("kept").isNull() | F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
+        return ws.finish(same.unionByName(left.select(docs.columns)))
