@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 21
+SLICE = 1 << 20
 _MASK = (1 << 64) - 1
 
 SPACE = np.zeros(256, bool)

@@ -50,7 +50,7 @@ from ._workspace import Workspace
 
 GRAM = 48
 #: Bytes of contexts that one suffix array covers, and contexts of one key that go to one shard.
-SHARD, MOST_CONTEXTS = 3 << 20, 8_192
+SHARD, MOST_CONTEXTS = 1 << 20, 8_192
 
 
 def text_id(raw: bytes) -> tuple[int, int]:
@@ -213,47 +213,54 @@ def suffix_array(text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     unsorted groups are sorted again, by the rank of the suffix ``depth`` further on.
     """
     n = len(text)
-    string = B.owners(np.arange(n), bounds)
-    room = bounds[string + 1] - np.arange(n)
+    sizes = np.diff(bounds)
+    place = np.arange(n, dtype=np.int32)
+    room = np.repeat(bounds[1:], sizes).astype(np.int32) - place
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    word = np.zeros(n, np.uint64)
-    for i in range(8):
-        byte = padded[i : i + n].astype(np.uint64)
-        byte[room <= i] = 0
-        word = word << np.uint64(8) | byte
-    order = np.lexsort((np.minimum(room, 8), word))
-    w, r = word[order], np.minimum(room, 8)[order]
-    new = np.ones(n, bool)
-    new[1:] = (w[1:] != w[:-1]) | (r[1:] != r[:-1])
-    rank = np.empty(n + 1, np.int64)
+    word = np.ndarray((n,), ">u8", padded.data, strides=(1,)).astype(np.uint64)
+    for i in range(1, 8):
+        short = np.flatnonzero(room == i)
+        word[short] = word[short] >> np.uint64(8 * (8 - i)) << np.uint64(8 * (8 - i))
+    if text.all():  # without zero bytes, a word tells how long it is
+        order = np.argsort(word, kind="stable").astype(np.int32)
+        w = word[order]
+        new = np.ones(n, bool)
+        new[1:] = w[1:] != w[:-1]
+    else:
+        have = np.minimum(room, 8)
+        order = np.lexsort((have, word)).astype(np.int32)
+        w, r = word[order], have[order]
+        new = np.ones(n, bool)
+        new[1:] = (w[1:] != w[:-1]) | (r[1:] != r[:-1])
+    del word, w, padded
+    rank = np.empty(n + 1, np.int32)
     rank[n] = -1
 
     def number(places, members, new):
         """Ranks of members at these places of the array, in runs that ``new`` begins."""
         starts = np.flatnonzero(new)
         ends = np.append(starts[1:], len(members)) - 1
-        rank[members] = np.repeat(places[ends], ends - starts + 1)
-        return np.repeat(ends - starts, ends - starts + 1) > 0
+        sizes = ends - starts + 1
+        rank[members] = np.repeat(places[ends], sizes)
+        return np.repeat(sizes > 1, sizes)
 
-    places = np.arange(n)
+    places = place
     loose = number(places, order, new)
-    depth, longest = 8, int(np.diff(bounds).max()) if len(bounds) > 1 else 0
-    while loose.any() and depth < longest:
+    depth, longest = 8, int(sizes.max()) if len(sizes) else 0
+    while depth < longest and loose.any():
         places = places[loose]
         members = order[places]
         after = np.where(room[members] > depth, rank[np.minimum(members + depth, n)], -1)
-        group = rank[members]
-        by = np.lexsort((after, group))
-        members, after, group = members[by], after[by], group[by]
+        key = rank[members].astype(np.int64) << 32 | after + 1
+        by = np.argsort(key, kind="stable")  # equal suffixes stay in the order of their places
+        members, key = members[by], key[by]
         order[places] = members
         new = np.ones(len(members), bool)
-        new[1:] = (group[1:] != group[:-1]) | (after[1:] != after[:-1])
+        new[1:] = key[1:] != key[:-1]
         loose = number(places, members, new)
         depth *= 2
-    # equal suffixes stand in the order of their places
-    order = np.lexsort((np.arange(n), rank[:n]))
-    rank = np.empty(n, np.int64)
-    rank[order] = np.arange(n)
+    rank = np.empty(n, np.int32)
+    rank[order] = place
     return order, rank
 
 
@@ -263,13 +270,12 @@ def kasai(text: np.ndarray, bounds: np.ndarray, order: np.ndarray, rank: np.ndar
     Kasai's bound, lcp(p + 1) >= lcp(p) - 1, is carried along all strings at once.
     """
     n = len(text)
-    string = B.owners(np.arange(n), bounds)
-    end = bounds[string + 1]
-    before = np.where(rank > 0, order[np.maximum(rank - 1, 0)], -1)
-    lcp = np.zeros(n, np.int64)
     sizes = np.diff(bounds)
+    end = np.repeat(bounds[1:], sizes).astype(np.int32)
+    before = np.where(rank > 0, order[np.maximum(rank - 1, 0)], np.int32(-1))
+    lcp = np.zeros(n, np.int32)
     lanes = np.flatnonzero(sizes > 0)
-    have = np.zeros(len(sizes), np.int64)
+    have = np.zeros(len(sizes), np.int32)
     for step in range(int(sizes.max()) if len(sizes) else 0):
         lanes = lanes[sizes[lanes] > step]
         p = bounds[lanes] + step
@@ -295,9 +301,11 @@ def repeated_windows(strings: list[bytes], length: int) -> tuple[np.ndarray, np.
     lcp = kasai(text, bounds, order, rank)
     near = lcp[order] >= length  # by place in the array: alike with the one before
     near = near | np.append(near[1:], False)
-    string = B.owners(np.arange(len(text)), bounds)
-    window = np.flatnonzero(bounds[string + 1] - np.arange(len(text)) >= length)
-    return string[window], window - bounds[string[window]], near[rank[window]]
+    sizes = np.diff(bounds)
+    each = np.maximum(sizes - length + 1, 0)
+    string = np.repeat(np.arange(len(sizes)), each)
+    offset = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+    return string, offset, near[rank[bounds[string] + offset]]
 
 
 SPANS = "t1 long, t2 long, start int, stop int, f1 long, f2 long"
@@ -400,7 +408,7 @@ def _identified(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("t1", T.LongType()), T.StructField("t2", T.LongType())]))
 
 
-def _find(texts: DataFrame, length: int, ws: Workspace, kept: bool = False) -> DataFrame:
+def _find(texts: DataFrame, length: int, ws: Workspace, kept: bool = False, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     """(t1, t2, n_removed, n_spans, kept_sha256, kept) of the texts that lose something to another or to themselves."""
     items = texts.mapInArrow(_anchors(length), ITEM).repartition("key").sortWithinPartitions("key", "context", "t1", "t2", "first")
     company = ws.table(items.mapInArrow(_company, ITEM + ", whole boolean"), "company")
@@ -410,7 +418,7 @@ def _find(texts: DataFrame, length: int, ws: Workspace, kept: bool = False) -> D
     packed = ws.table(packed, "texts")
 
     several = company.where("not whole")
-    hot = several.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MOST_CONTEXTS).select("key", F.ceil(F.col("n") * 2 / MOST_CONTEXTS).cast("int").alias("parts"))
+    hot = several.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most_contexts).select("key", F.ceil(F.col("n") * 2 / most_contexts).cast("int").alias("parts"))
     salt = F.when(F.col("parts").isNull(), F.lit(-1)).otherwise(F.pmod("context", F.col("parts")).cast("int"))
     several = several.join(hot, "key", "left").withColumn("salt", salt)
     several = several.groupBy("t1", "t2").agg(F.collect_list(F.struct("key", "salt", "first", "last")).alias("items"))
@@ -427,11 +435,11 @@ def _find(texts: DataFrame, length: int, ws: Workspace, kept: bool = False) -> D
     return every.join(packed, ["t1", "t2"]).mapInArrow(_outcome(kept), "t1 long, t2 long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     """``id_col``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` for every row of ``docs``."""
     with Workspace(docs.sparkSession, "repeats") as ws:
         source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-        found = _find(source.select("text"), length, ws).drop("kept")
+        found = _find(source.select("text"), length, ws, most_contexts=most_contexts).drop("kept")
         rows = ws.table(source.mapInArrow(_named, f"id {dict(source.dtypes)['id']}, t1 long, t2 long, n_bytes long, sha string"), "rows")
         copies = rows.where(F.col("n_bytes") >= length).groupBy("t1", "t2").agg(F.count("*").alias("n")).where("n > 1").select("t1", "t2", F.lit(True).alias("copied"))
         out = rows.join(found.join(copies, ["t1", "t2"], "full"), ["t1", "t2"], "left")
