@@ -39,7 +39,7 @@ class Base:
         self.spark = spark
         self.biz = records(spark, sf_dir)
         self.raw = self.biz.select("entity_id", "business_name", "business_address", "country")
-        self.prep = T.prepare(self.raw)
+        self.prep = T.prepare(self.raw).persist()  # keys, shards and features of both sides all start here
         self.left = self.prep.where("entity_id like 'S1-%'")
         self.right = self.prep.where("entity_id not like 'S1-%'")
         self.truth = truth(self.biz)
