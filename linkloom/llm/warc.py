@@ -31,7 +31,7 @@ import uuid
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._workspace import Workspace
@@ -121,16 +121,22 @@ def _writer(root: str, date: str):
     return run
 
 
-def write(pages: DataFrame, root: str, least_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+def write(pages: DataFrame, root: str, ws: Workspace, least_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Writes archives below ``root`` (a URI); the index, to be stored before it is used twice."""
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].alias("url"), F.coalesce(pages["html"], F.lit("")).cast("binary").alias("html"))
-    # a row's place tells apart rows that repeat a page_id
-    rows = rows.withColumn("place", F.monotonically_increasing_id()).withColumn("sha", F.when(F.octet_length("html") >= least_bytes, F.unhex(F.sha1("html"))))
-    order = F.struct(F.col("page_id").isNull().alias("unnamed"), F.col("page_id").alias("page_id"), F.col("place").alias("place"))
-    groups = rows.where("sha is not null").groupBy("sha").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
-    groups = groups.select("sha", F.col("first.page_id").alias("first_page"), F.col("first.place").alias("first_place"))
-    rows = rows.join(groups, "sha", "left").select("page_id", "url", "html", F.coalesce(F.col("place") == F.col("first_place"), F.lit(True)).alias("is_first"), "first_page")
-    return rows.mapInArrow(_writer(root, date), INDEX)
+    rows = rows.withColumn("sha", F.when(F.octet_length("html") >= least_bytes, F.unhex(F.sha1("html"))))
+    each = rows.where("sha is not null").groupBy("sha", "page_id").agg(F.count("*").alias("same"))
+    groups = each.groupBy("sha").agg(F.min(F.struct(F.col("page_id").isNull().alias("unnamed"), "page_id", "same")).alias("first"), F.sum("same").alias("n")).where("n > 1")
+    groups = ws.table(groups.select("sha", F.col("first.page_id").alias("first_page"), F.col("first.same").alias("same")), "groups")
+    met = rows.join(groups, "sha", "left")
+    of_first = F.col("same").isNotNull() & F.col("page_id").eqNullSafe(F.col("first_page"))
+    if groups.where("same > 1").limit(1).count():  # rows that repeat a response's page: one of them is it
+        twice = of_first & (F.col("same") > 1)
+        nth = F.row_number().over(Window.partitionBy("sha").orderBy("url"))
+        met = met.where(~twice).withColumn("is_first", F.col("same").isNull() | of_first).unionByName(met.where(twice).withColumn("is_first", nth == 1))
+    else:
+        met = met.withColumn("is_first", F.col("same").isNull() | of_first)
+    return met.select("page_id", "url", "html", "is_first", "first_page").mapInArrow(_writer(root, date), INDEX)
 
 
 def _reader(root: str):
@@ -182,5 +188,5 @@ def round_trip(spark: SparkSession, pages: DataFrame, least_bytes: int = 0) -> D
     with Workspace(spark, "warc") as ws:
         root = f"{ws.root}/archives"
         root = root if "://" in root else f"file://{root.removeprefix('file:')}"
-        index = ws.table(write(pages, root, least_bytes), "index")
+        index = ws.table(write(pages, root, ws, least_bytes), "index")
         return ws.finish(read(index, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
