@@ -30,9 +30,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Rows and bytes of one Arrow batch at most.  Whole texts travel in batches, and Spark's default of
+#: 10,000 rows would hold tens of MB several times over on both sides of the pipe.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """Lowers the session's Arrow batches to these sizes; smaller ones stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        text = spark.conf.get(key, None)
+        digits = "".join(c for c in text or "" if c.isdigit())
+        if text is None or not digits or not 0 < int(digits) <= most or not text.isdigit():
+            spark.conf.set(key, str(most))
+    return spark
+
+
 class Workspace:
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+        self.spark = bounded(spark)
         self.root = f"{shared_dir(spark).rstrip('/')}/linkloom-{name}-{uuid.uuid4().hex}"
 
     def __enter__(self) -> "Workspace":

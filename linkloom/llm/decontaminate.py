@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
+from ._workspace import bounded
 
 Q, WINDOW, LEAST, RATE = 8, 100, 32, 0.10
 BLOCK_BYTES = 2 << 20
@@ -180,6 +181,7 @@ def matches(w: Windows, raw: np.ndarray, bounds: np.ndarray) -> dict[str, np.nda
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, rate: float):
     """The benchmark in blocks of bounded size, as broadcasts."""
+    bounded(benchmark.sparkSession)
     items = benchmark.select(benchmark[id_col].cast("long").alias("id"), benchmark[text_col].alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // BLOCK_BYTES) or 1

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
+from ._workspace import bounded
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -188,6 +189,7 @@ def _patterns(batches):
 
 def posterior(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Fits the rules' accuracies over all of ``docs``."""
+    bounded(docs.sparkSession)
     found = docs.select(docs[text_col].alias("text")).mapInArrow(_patterns, "code long, docs long")
     return fit({r["code"]: r["docs"] for r in found.groupBy("code").agg(F.sum("docs").alias("docs")).collect()})
 

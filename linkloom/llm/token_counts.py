@@ -30,6 +30,8 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
+from ._workspace import bounded
+
 LEAF, LOOK_AHEAD = 32, 4
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-token pattern that goes with the vocabulary.
@@ -166,6 +168,8 @@ def count_tokens(docs: DataFrame, edits: Callable[[str], Iterable[Edit]] = sampl
     One pass, no shuffle.  ``edits`` gives a text's edits in the order in which they are made.
     """
 
+    bounded(docs.sparkSession)
+
     def run(batches):
         count = counter(vocabulary)
         for batch in batches:

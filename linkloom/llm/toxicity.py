@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
+from ._workspace import bounded
 
 SPACE_BITS = 40
 MOST_LABELLED, MOST_TOXIC = 9_000, 4_000
@@ -112,6 +113,7 @@ def _train(batches):
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, np.ndarray, float]:
     """Fits on ``labels`` (already without the held-out rows)."""
+    bounded(docs.sparkSession)
     known = labels.where(labels[id_col].isNotNull() & labels[label_col].isNotNull()).groupBy(labels[id_col].alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     place = F.md5(F.col("id").cast("string"))
     known = known.withColumn("place", place)
@@ -128,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``score`` of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = bounded(docs.sparkSession).sparkContext.broadcast(model)
 
     def run(batches):
         names, weights, bias = shared.value
