@@ -90,12 +90,28 @@ from so_far s join kept k on s.conv_id is not distinct from k.conv_id group by a
 _OP8 = r"""
 with sized as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, md5('20240229:' || cast(doc_id as varchar)) as spot from documents),
 src as (select source, sum(size)::bigint as source_size, count(*) as n_docs from sized group by source),
-wgt as (select *, [3.0, 1.0, 2.0][(row_number() over (order by source nulls last) - 1) % 3 + 1]::double as weight, sum(source_size) over () * 1.5 as total from src),
-fil as (select *, 2 * source_size as cap, coalesce(sum(2 * source_size) over (order by 2 * source_size / weight, source nulls last rows between unbounded preceding and 1 preceding), 0) as used,
+wgt as (select *, [3.0::double, 1.0::double, 2.0::double][(row_number() over (order by source nulls last) - 1) % 3 + 1] as weight, sum(source_size) over ()::double * 1.5::double as total from src),
+fil as (select *, 2 * source_size as cap, coalesce(sum(2 * source_size) over (order by 2 * source_size / weight, source nulls last rows between unbounded preceding and 1 preceding), 0)::double as used,
         sum(weight) over (order by 2 * source_size / weight, source nulls last rows between current row and unbounded following) as rest from wgt),
 lvl as (select *, max(case when (total - used) / rest * weight <= cap then (total - used) / rest end) over () as level from fil),
-tgt as (select source, source_size, n_docs, least(cap, level * weight)::double as target, total from lvl)
-select s.doc_id, s.size, t.source_size, t.target from sized s join tgt t on s.source is not distinct from t.source
+tgt as (select source, source_size, n_docs, least(cap::double, level * weight) as target, round(total / 32)::bigint as blocks from lvl),
+quo as (select source, target / (2 * k + 1) as quotient, k, blocks from (select source, target, blocks, unnest(range(blocks)) as k from tgt where target > 0)),
+won as (select source, count(*) as quota from (select *, row_number() over (order by quotient desc, source nulls last, k) as place from quo) where place <= blocks group by source),
+put as (select s.*, t.source_size, t.target, t.n_docs, coalesce(w.quota, 0) as blocks, ('0x' || substr(s.spot, 1, 8))::bigint % ceil(t.n_docs / 4000)::bigint as shard
+        from sized s join tgt t on s.source is not distinct from t.source left join won w on s.source is not distinct from w.source),
+shd as (select source, shard, sum(size)::bigint as words, max(blocks) as blocks from put group by source, shard),
+squ as (select source, shard, words / (2 * k + 1) as quotient, k, blocks from (select *, unnest(range(blocks)) as k from shd where words > 0)),
+swn as (select source, shard, count(*) as quota from (select *, row_number() over (partition by source order by quotient desc, shard, k) as place from squ) where place <= blocks group by source, shard),
+lay as (select d.source, d.shard, greatest(1, ceil(d.words / 32)::bigint) as n, coalesce(w.quota, 0) as quota, ('0x' || substr(md5('20240229:' || coalesce(d.source, '') || ':' || d.shard), 1, 8))::bigint as start
+        from shd d left join swn w on d.source is not distinct from w.source and d.shard = w.shard),
+cut as (select source, shard, n, least(quota, 2 * n) // n as times, least(quota, 2 * n) % n as extra, start % n as shift from lay),
+lin as (select p.*, sum(p.size) over (partition by p.source, p.shard order by spot, doc_id, size rows between unbounded preceding and current row)::bigint as stop, c.n, c.times, c.extra, c.shift
+        from put p join cut c on p.source is not distinct from c.source and p.shard = c.shard),
+two as (select doc_id, size, source_size, target, n, times, extra, shift, stop as b, stop - size as a from lin)
+select doc_id, size, source_size, target, (
+    times * b + 32 * (((b // 32 + shift) * extra) // n - (shift * extra) // n) + (b - b // 32 * 32) * (((b // 32 + shift + 1) * extra) // n - ((b // 32 + shift) * extra) // n)
+  - times * a - 32 * (((a // 32 + shift) * extra) // n - (shift * extra) // n) - (a - a // 32 * 32) * (((a // 32 + shift + 1) * extra) // n - ((a // 32 + shift) * extra) // n))::bigint as taken
+from two
 """
 _OP9 = r"""
 with p as (select page_id, url, date '2024-01-01' + cast(page_id * 37 % 366 as int) as fetched, rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '.') as host,
@@ -116,4 +132,12 @@ a as (select k.url, k.fetched, count(*) as n_active, min(k.pattern) as first_pat
 select p.page_id, p.url, cast(p.fetched as date) as fetched, coalesce(a.n_active, 0) as n_active, a.first_pattern, a.n_active is not null as blocked
 from p left join a on p.url is not distinct from a.url and p.fetched = a.fetched
 """
-ORACLES: dict[str, str] = {"op5_chat_formatting": _OP5, "op9_url_filters": _OP9}
+_OP10 = """
+with p as (select page_id, coalesce(html, '') as h, sha1(coalesce(html, '')) as s from pages),
+f as (select *, min(page_id) over (partition by s) as first from p)
+select page_id, strlen(h)::bigint as payload_bytes,
+  array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(s, (k * 5 // 4 + 1)::int, 2))::int >> (3 - k * 5 % 4)::int) & 31) + 1, 1)), '') as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to
+from f
+"""
+ORACLES: dict[str, str] = {"op5_chat_formatting": _OP5, "op8_mixing_sources": _OP8, "op9_url_filters": _OP9, "op10_warc": _OP10}
