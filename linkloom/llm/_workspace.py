@@ -64,7 +64,7 @@ class Workspace:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` once and read it back."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        df.write.mode("overwrite").option("compression", "lz4_raw").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def release(self, name: str) -> None:
