@@ -40,6 +40,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,11 +100,18 @@ def window_anchors(text: np.ndarray, bounds: np.ndarray, length: int) -> tuple[n
 
 
 ITEM = "key long, context long, t1 long, t2 long, first int, last int"
+#: ``deal`` says where an item goes: to its key, or, if it is known to repeat (``whole``), anywhere.
+DEALT = ITEM + ", whole boolean, deal long"
 
 
 def _anchors(length: int):
-    """Every (anchor, side) of every distinct text of a task; first and last are offsets in its text."""
-    names = ["key", "context", "t1", "t2", "first", "last"]
+    """Every (anchor, side) of every distinct text of a task; first and last are offsets in its text.
+
+    Items of equal context in one run of texts repeat for sure.  One of them goes on
+    to its key; all go past it as ``whole``, so a passage or line that is everywhere
+    does not gather at its key.
+    """
+    names = ["key", "context", "t1", "t2", "first", "last", "whole", "deal"]
 
     def run(batches):
         seen: set = set()
@@ -132,7 +140,14 @@ def _anchors(length: int):
                 key = B.span_hash(prefix, lo, hi) ^ np.where(lo - first == hi - GRAM - first, np.uint64(0), np.uint64(0x6A09E667F3BCC909))
                 # the core's place in its window is not part of the key; the context's bounds are part of the context
                 context = B.mix(B.span_hash(prefix, first, last + length) + (lo - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(context.view(np.int64)), pa.array(t[:, 0]), pa.array(t[:, 1]), pa.array((first - bounds[doc]).astype(np.int32)), pa.array((last - bounds[doc]).astype(np.int32))], names=names)
+                _, one, like, many = np.unique(B.mix(key ^ B.mix(context)), return_index=True, return_inverse=True, return_counts=True)
+                again = np.flatnonzero(many[like] > 1)
+                pick = np.concatenate([np.sort(one), again])
+                whole = np.arange(len(pick)) >= len(one)
+                key, context = key.view(np.int64)[pick], context.view(np.int64)[pick]
+                t, first, last, base = t[pick], first[pick], last[pick], bounds[doc[pick]]
+                deal = np.where(whole, B.mix(t[:, 0].view(np.uint64) + first.astype(np.uint64)).view(np.int64), key)
+                yield pa.record_batch([pa.array(key), pa.array(context), pa.array(t[:, 0]), pa.array(t[:, 1]), pa.array((first - base).astype(np.int32)), pa.array((last - base).astype(np.int32)), pa.array(whole), pa.array(deal)], names=names)
 
     return run
 
@@ -171,6 +186,11 @@ def _company(batches):
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[*names, "whole"])
 
     for batch in batches:
+        batch = batch.select([*names, "whole"])
+        sure = batch.column("whole")
+        if sure.true_count:
+            yield batch.filter(sure)
+            batch = batch.filter(pc.invert(sure))
         if not batch.num_rows:
             continue
         columns = [batch.column(c).to_numpy() for c in names]
@@ -410,7 +430,7 @@ def _identified(docs: DataFrame, text_col: str) -> DataFrame:
 
 def _find(texts: DataFrame, length: int, ws: Workspace, kept: bool = False, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     """(t1, t2, n_removed, n_spans, kept_sha256, kept) of the texts that lose something to another or to themselves."""
-    items = texts.mapInArrow(_anchors(length), ITEM).repartition("key").sortWithinPartitions("key", "context", "t1", "t2", "first")
+    items = texts.mapInArrow(_anchors(length), DEALT).repartition("deal").sortWithinPartitions("key", "context", "t1", "t2", "first")
     company = ws.table(items.mapInArrow(_company, ITEM + ", whole boolean"), "company")
     wanted = company.select("t1", "t2").distinct()
     chosen = _bitmap.only(_identified(texts, "text"), _bitmap.build(wanted, "t1", "t2"), ["t1", "t2"], True)
@@ -457,6 +477,9 @@ def strip_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", si
     Bytes are cut as they are found; a character that a cut parts goes with it.
     ``size_col``, if there is such a column, becomes the characters of what is left.
     """
+    names, kinds = docs.columns, {f.name: f.dataType for f in docs.schema.fields}
+    docs = docs.toDF(*[f"_{c}" for c in names])  # apart from the names used here
+    text_col, size_kind, size_col = f"_{text_col}", kinds.get(size_col), f"_{size_col}"
     with Workspace(docs.sparkSession, "strip") as ws:
         texts = docs.select(docs[text_col].alias("text"))
         found = ws.table(_find(texts, length, ws, kept=True).select("t1", "t2", "kept"), "found")
@@ -469,6 +492,6 @@ def strip_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", si
         text = F.when(F.col("kept").isNull(), F.col(text_col)).otherwise(F.col("kept").cast("string"))
         left = left.withColumn(text_col, text)
         if size_col in docs.columns:
-            left = left.withColumn(size_col, F.when(F.col("kept").isNull(), F.col(size_col)).otherwise(F.length(text_col)).cast(docs.schema[size_col].dataType))
+            left = left.withColumn(size_col, F.when(F.col("kept").isNull(), F.col(size_col)).otherwise(F.length(text_col)).cast(size_kind))
         left = left.where(F.col("kept").isNull() | F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
-        return ws.finish(same.unionByName(left.select(docs.columns)))
+        return ws.finish(same.unionByName(left.select(docs.columns)).toDF(*names))

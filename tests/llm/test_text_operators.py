@@ -189,9 +189,9 @@ def test_repeats(spark, most):
 
 def test_strip_repeats(spark):
     rows = [r for r in repeat_corpus() if r[0] not in (450, 451, 455)]
-    table = docs(spark, rows)
+    table = docs(spark, rows).withColumn("t1", F.lit(1)).withColumn("kept", F.lit("clash"))
     left = suffix_dedup.strip_repeats(table, 400)
-    assert left.columns == table.columns
+    assert left.columns == table.columns and {r["kept"] for r in left.select("kept").distinct().collect()} == {"clash"}
     lost = {(i, n - gone) for i, n, gone, _, _ in removed_by_force(rows, 400) if gone}
     texts = {r["doc_id"]: r["text"] for r in left.collect()}
     for i, size in lost:
