@@ -65,7 +65,7 @@ def _before(x: Column) -> Column:
     return F.col("times") * x + F.col("block") * (steps(full + F.col("shift")) - begun) + (x - full * F.col("block")) * here
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, block_words: int = 32, shard_docs: int = 50_000, seed: int = 20240229,
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, block_words: int = 32, shard_docs: int = 4_000, seed: int = 20240229,
                 id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """``id_col``, ``size``, ``source_size``, ``target``, ``taken`` for every row, and the columns ``keep``."""
     with Workspace(docs.sparkSession, "mixture") as ws:
