@@ -46,7 +46,7 @@ from ._workspace import Workspace
 #: Cells of the table that orders shingles: 2^BITS counts of one byte are broadcast.
 BITS, PART = 20, 1 << 14
 #: Entries of an index block.
-BLOCK = 64
+BLOCK = 256
 _SHIFT = np.uint64(64 - BITS)
 
 
@@ -333,11 +333,33 @@ def _rest(live: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
         a.key = b.key and (a.n < b.n or (a.n = b.n and a.block <= b.block)) and a.n * {den} >= {num} * b.n
         and (1 + least(a.n - a.low - 1, b.n - b.low - 1)) * {num + den} >= {num} * (a.n + b.n)
         and not (a.c1 = a.c2 and b.c1 = b.c2 and a.c1 = b.c1)"""))
-    pairs = pairs.select(F.col("a.n").alias("m"), F.col("b.n").alias("n"), F.col("b.items").alias("others"), F.explode("a.items").alias("item"))
-    partners = F.expr(f"""transform(filter(others, o -> o.component <> item.component
-        and (1 + least(m - item.pos - 1, n - o.pos - 1)) * {num + den} >= {num} * (m + n)), o -> o.node)""")
-    pairs = pairs.select(F.col("item.node").alias("node"), F.explode(partners).alias("other"))
-    return pairs.select(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y")).where("x <> y").distinct()
+    sides = [F.col(f"{side}.items.{c}").alias(f"{c}_{side}") for side in "ab" for c in ("pos", "node", "component")]
+    return pairs.select(F.col("a.n").alias("m"), F.col("b.n").alias("n"), *sides).mapInArrow(_across(num, den), "x long, y long").distinct()
+
+
+def _across(num: int, den: int):
+    """Pairs between two index blocks that the bounds leave and whose components differ."""
+
+    def run(batches):
+        for batch in batches:
+            lists = {c: (batch.column(c).values.to_numpy(), batch.column(c).offsets.to_numpy()) for c in batch.schema.names if c not in ("m", "n")}
+            found = []
+            for k, (m, n) in enumerate(zip(batch.column("m").to_pylist(), batch.column("n").to_pylist(), strict=True)):
+                # both entries must have so many elements left, their own included
+                left = -(-num * (m + n) // (num + den))
+                side = {}
+                for s, size in (("a", m), ("b", n)):
+                    pos, node, component = (v[o[k] : o[k + 1]] for v, o in (lists[f"{c}_{s}"] for c in ("pos", "node", "component")))
+                    ok = size - pos >= left
+                    side[s] = node[ok], component[ok]
+                i, j = np.nonzero(side["a"][1][:, None] != side["b"][1][None, :])
+                found.append(np.stack([side["a"][0][i], side["b"][0][j]]))
+            if found:
+                both = np.concatenate(found, axis=1)
+                both = np.unique(np.sort(both, axis=0), axis=1)
+                yield pa.record_batch([pa.array(both[0]), pa.array(both[1])], names=["x", "y"])
+
+    return run
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, lower: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
