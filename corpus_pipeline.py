@@ -1,7 +1,7 @@
 """A corpus pipeline: quality rules, near copies, long repeats, benchmark leaks, mixing.
 
 Each stage takes the table that the one before it left and returns the columns of
-``documents``; the last adds what the mix takes of each document.
+``documents``; the last leaves what the mix takes of each document.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its source's target and the words that the mix takes of it."""
-    return mixture.mix_sources(docs, keep=COLUMNS[1:])
+    """The text that the mix takes of each document; documents that give nothing go."""
+    return mixture.mix_texts(docs.select(*COLUMNS))
 
 
 STAGES = [
@@ -57,4 +57,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Workspace(spark, "pipeline") as ws:
         for name, stage in STAGES[:-1]:
             docs = ws.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        return STAGES[-1][1](spark, docs, sf_dir)  # its result is checkpointed, so the tables may go
+        return ws.finish(STAGES[-1][1](spark, docs, sf_dir))  # checkpointed, so the tables may go

@@ -14,13 +14,14 @@ Method
      hot, meets in one task.
   4. In a shard, documents stand in an order that the seed gives.  Of its blocks
      each is taken ``q div n`` times, and ``q mod n`` once more: those at even
-     steps from a seeded start.  What a document gives is the difference of a
-     closed form at its two ends; blocks are never listed.
+     steps from a seeded start.  A document gives its parts of the blocks taken:
+     spans of words (``mix_spans``), their text (``mix_texts``), their number
+     (``mix_sources``).
 
 Defined cases: a null, empty or wordless text has size 0 and gives 0; a null
 source is a source of its own, ordered last; rows without doc_id, or that repeat
 one, are rows of their own; an empty table gives an empty result.
-Other columns are ignored.  At most ``most`` times a document's size is taken.
+Rows that give nothing have no spans and no text.  At most ``most`` times a document's size is taken.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ from pyspark.sql import functions as F
 from ._workspace import Workspace
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: A word with the white space after it, and the first one with that before it.
+UNIT = r"\A[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*|[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
+SPANS = "array<struct<start: bigint, stop: bigint, times: bigint>>"
 EVER = (Window.unboundedPreceding, Window.unboundedFollowing)
 
 
@@ -56,25 +60,83 @@ def seats(df: DataFrame, within: list[str], by: str, total: str, order: list[str
     return met.withColumn("quota", F.col("_low") + F.coalesce("_won", F.lit(0))).drop(*[f"_{c}" for c in keys], "_won", "_sum", "_n", "_share", "_low", "_left")
 
 
-def _before(x: Column) -> Column:
-    """Words taken of a shard's first ``x`` words."""
-    full = F.floor(x / F.col("block"))
-    steps = lambda u: F.floor((u * F.col("extra")).cast("decimal(38,0)") / F.col("n_blocks")).cast("long")
-    begun = steps(F.col("shift"))
-    here = steps(full + F.col("shift") + 1) - steps(full + F.col("shift"))
-    return F.col("times") * x + F.col("block") * (steps(full + F.col("shift")) - begun) + (x - full * F.col("block")) * here
+def _spans() -> Column:
+    """A document's words that the mix takes: parts of blocks, each with the times it is taken."""
+    block, begin, end = F.col("block"), F.col("end") - F.col("size"), F.col("end")
+    steps = lambda u: F.call_function("div", u * F.col("extra"), F.col("n_blocks"))
+    span = lambda start, stop, times: F.struct(start.cast("long").alias("start"), stop.cast("long").alias("stop"), times.cast("long").alias("times"))
 
+    def part(j: Column) -> Column:
+        u = j + F.col("shift")
+        return span(F.greatest(j * block, begin) - begin, F.least((j + 1) * block, end) - begin, F.col("times") + steps(u + 1) - steps(u))
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, block_words: int = 32, shard_docs: int = 4_000, seed: int = 20240229,
-                id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col``, ``size``, ``source_size``, ``target``, ``taken`` for every row, and the columns ``keep``."""
+    blocks = F.sequence(F.call_function("div", begin, block), F.call_function("div", end - 1, block))
+    whole = F.array(span(F.lit(0), F.col("size"), F.col("times")))
+    found = F.when(F.col("extra") == 0, whole).otherwise(F.transform(blocks, part))
+    return F.when(F.col("size") > 0, F.filter(found, lambda s: s["times"] > 0)).otherwise(F.array().cast(SPANS))
+
+
+def taken(spans: Column) -> Column:
+    """Words in ``spans``."""
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + (s["stop"] - s["start"]) * s["times"])
+
+
+def _text(text: Column, spans: Column) -> Column:
+    """The words of ``spans`` with the white space around them; what is taken again follows on a new line."""
+
+    def passes(words: Column) -> Column:
+        cut = lambda s: F.slice(words, (s["start"] + 1).cast("int"), (s["stop"] - s["start"]).cast("int"))
+        once = lambda p: F.array_join(F.flatten(F.transform(F.filter(spans, lambda s: s["times"] >= p), cut)), "")
+        return F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), F.array_max(F.transform(spans, lambda s: s["times"]))), once), "\n")
+
+    # an array of one item binds the words, so that they are split once
+    return F.transform(F.array(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))), passes)[0]
+
+
+def mix_spans(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, block_words: int = 32, shard_docs: int = 4_000, seed: int = 20240229,
+              id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The mix: ``id_col``, ``size``, ``source_size``, ``target`` and ``spans`` for every row, and the columns ``keep``.
+
+    A span (start, stop, times) is the document's words from ``start``, counted from 0, to before
+    ``stop``; spans come in order and don't overlap.
+    """
     with Workspace(docs.sparkSession, "mixture") as ws:
         size = F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long")
         kept = F.struct(*[docs[c].alias(c) for c in keep], F.lit(0).alias("_"))
         spot = F.md5(F.concat_ws(":", F.lit(str(seed)), docs[id_col].cast("string")))
         rows = ws.table(docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), size.alias("size"), spot.alias("spot"), kept.alias("kept")), "sizes")
         return ws.finish(_mixed(rows, weights, share, most, block_words, shard_docs, seed).select(
-            F.col("id").alias(id_col), "size", "source_size", "target", "taken", *[F.col(f"kept.{c}").alias(c) for c in keep]))
+            F.col("id").alias(id_col), "size", "source_size", "target", _spans().alias("spans"), *[F.col(f"kept.{c}").alias(c) for c in keep]))
+
+
+def mix_sources(docs: DataFrame, **how) -> DataFrame:
+    """Digest of ``mix_spans``, whose parameters it takes: ``taken`` words of every row instead of its spans."""
+    spans = mix_spans(docs, **how)
+    return spans.withColumn("spans", taken(F.col("spans"))).withColumnRenamed("spans", "taken")
+
+
+def mix_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars", **how) -> DataFrame:
+    """The mix as a table: the rows of ``docs`` of which words are taken, with these words as their text.
+
+    What is taken more than once is repeated on a new line.  ``size_col``, if there is such a column, becomes
+    the new text's characters; ``size``, ``source_size``, ``target`` and ``taken`` are added or
+    replaced.  Where ids are null or repeat, rows are told apart by a number of their own, for which the table
+    is written once.
+    """
+    names, kinds = docs.columns, {f.name: f.dataType for f in docs.schema.fields}
+    with Workspace(docs.sparkSession, "mix-texts") as ws:
+        row = id_col
+        if docs.groupBy(id_col).count().where(F.col(id_col).isNull() | (F.col("count") > 1)).limit(1).count():
+            row = "_row"
+            docs = ws.table(docs.withColumn(row, F.monotonically_increasing_id()), "docs")
+        spans = mix_spans(docs, id_col=id_col, text_col=text_col, keep=(row,) if row != id_col else (), **how)
+        spans = spans.where(F.size("spans") > 0).select(F.col(row).alias("_of"), F.struct("size", "source_size", "target", "spans").alias("_mix"))
+        # only now do texts travel, once
+        out = docs.join(spans, docs[row] == spans["_of"]).withColumn(text_col, _text(F.col(text_col), F.col("_mix.spans")))
+        if size_col in names:
+            out = out.withColumn(size_col, F.length(text_col).cast(kinds[size_col]))
+        out = out.select(*[c for c in names if c not in ("size", "source_size", "target", "taken")], "_mix.size", "_mix.source_size", "_mix.target", taken(F.col("_mix.spans")).alias("taken"))
+        return ws.finish(out) if row != id_col else out
 
 
 def source_targets(rows: DataFrame, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
@@ -113,4 +175,4 @@ def _mixed(rows: DataFrame, weights: tuple[int, ...], share: float, most: int, b
     line = Window.partitionBy("source", "shard").orderBy("spot", "id", "size")
     rows = rows.withColumn("end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.join(shards, rows["source"].eqNullSafe(shards["_source"]) & (rows["shard"] == shards["_shard"]), "left").withColumn("block", F.lit(block).cast("long"))
-    return rows.withColumn("taken", (_before(F.col("end")) - _before(F.col("end") - F.col("size"))).cast("long"))
+    return rows

@@ -375,6 +375,37 @@ def test_mixture(spark):
         assert abs(taken[s] - t) <= 8 * (4 + sum(x[2] == s for x in rows) / 40), (s, taken[s], t)
 
 
+def test_mix_is_listed(spark):
+    rng = random.Random(12)
+    rows = [(i, f" {prose(rng, rng.randint(0, 90))}\n", rng.choice(["a", "b", "b", "c", "c"])) for i in range(200)] + [(3, "again \t here", "a"), (None, "a  b c", "b"), (500, None, "c"), (501, " ", "a")]
+    table = docs(spark, rows)
+    how = {"shard_docs": 60, "block_words": 8}
+    words = {(i, len(WORD.findall(t or ""))): WORD.findall(t or "") for i, t, _ in rows}
+    spans = mixture.mix_spans(table, **how).collect()
+    counts = {}
+    for r in spans:
+        times = [0] * r["size"]
+        for a, b, n in r["spans"]:
+            assert 0 <= a < b <= r["size"] and 1 <= n <= 2 and b - a <= max(8, r["size"] * (n == 2 or len(r["spans"]) == 1)) and not any(times[a:b])
+            times[a:b] = [n] * (b - a)
+        counts[r["doc_id"], r["size"]] = times
+    assert len(spans) == len(rows) and {n for c in counts.values() for n in c} == {0, 1, 2}
+    assert {(r["doc_id"], r["size"]): r["taken"] for r in mixture.mix_sources(table, **how).collect()} == {k: sum(c) for k, c in counts.items()}
+    for some in (table, table.where("doc_id is not null and size(split(text, ' ')) > 3")):  # the second has no id twice
+        whole = {(r["doc_id"], r["size"]): r["spans"] for r in mixture.mix_spans(some, **how).collect()}
+        got = mixture.mix_texts(some, **how).collect()
+        assert sorted((r["doc_id"], r["size"]) for r in got if r["doc_id"] is not None) == sorted(k for k, v in whole.items() if v and k[0] is not None)
+        for r in got:
+            times = [0] * r["size"]
+            for a, b, n in whole[r["doc_id"], r["size"]]:
+                times[a:b] = [n] * (b - a)
+            mine = words[r["doc_id"], r["size"]]
+            assert WORD.findall(r["text"]) == [w for p in (1, 2) for w, n in zip(mine, times, strict=True) if n >= p]
+            assert r["taken"] == sum(times) > 0 and r["n_chars"] == len(r["text"])
+            if set(times) == {1}:
+                assert r["text"] in {t for _, t, _ in rows}
+
+
 def test_seats_are_the_highest_quotients(spark):
     rng = random.Random(12)
     votes = [(f"p{k}", float(rng.choice([0, 1, 3, 10, 50, 400, 1000])), rng.randrange(2)) for k in range(40)]
