@@ -2,7 +2,7 @@
 
 Documents are sets of distinct word shingles; two link when their Jaccard
 similarity is at least ``num / den``.  The result is each document's class
-under links, exactly, and no set's links are enumerated to get there.
+under links, exactly, and on request each row's number of links, exactly.
 
 Method
   1. One pass hashes every document's shingles (64 bits) and gives its set's
@@ -18,7 +18,13 @@ Method
      takes over the answers already known (the component) of its like.
   4. The rest: of all lists, those pairs that the bounds leave *and* whose
      components still differ are verified in full, so that no link is lost.
-  Steps 3 and 4 send texts, deflated, only of classes that have a candidate.
+  5. Numbers of links (``ngram_jaccard_links``): every set is measured against
+     its component's least one, its pivot.  Jaccard distance is a metric, so two
+     sets of one pivot whose distances from it add up to no more than
+     ``1 - num / den`` surely link: they are counted from the pivot's histogram of
+     distances.  Where the distances differ by more, they surely don't.  Step 4
+     verifies all other pairs, of one component or of two.
+  Steps 3 to 5 send texts, deflated, only of classes that have a candidate.
 
 Defined cases: a text of fewer than ``k`` words is one shingle (its whole
 sequence); a null, empty or wordless text has ``n_shingles`` 0 and is linked with
@@ -47,6 +53,8 @@ from ._workspace import Workspace
 BITS, PART = 20, 1 << 14
 #: Entries of an index block.
 BLOCK = 256
+#: Distances are rounded up to so many parts of one.
+PARTS = 1 << 12
 _SHIFT = np.uint64(64 - BITS)
 
 
@@ -201,8 +209,8 @@ def _chosen(bitmap):
 
 
 def _verify(k: int, lower: bool, num: int, den: int):
-    """Pairs with both texts; keeps those whose sets reach the threshold.  Pairs come sorted by
-    ``y``, so that a set is built once for all partners that follow."""
+    """Pairs with both texts: whether their sets reach the threshold, and their distance in ``PARTS``.  Pairs
+    come sorted by ``y``, so that a set is built once for all partners that follow."""
 
     def run(batches):
         known: dict = {}
@@ -219,14 +227,16 @@ def _verify(k: int, lower: bool, num: int, den: int):
                     for first, h, cuts in _sets(texts, k, lower):
                         for i in range(len(cuts) - 1):
                             known[order[first + i]] = h[cuts[i] : cuts[i + 1]].copy()
-                ok = []
+                ok, far = [], []
                 for p, q in zip(pu, pv, strict=True):
                     s, t = known[p], known[q]
                     if len(s) > len(t):
                         s, t = t, s
                     common = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum()) if len(s) else 0
-                    ok.append(common * den >= num * (len(s) + len(t) - common) and common > 0)
-                yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(ok)], names=["x", "y", "linked"])
+                    union = len(s) + len(t) - common
+                    ok.append(common * den >= num * union and common > 0)
+                    far.append(-(-PARTS * (union - common) // max(union, 1)))
+                yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(ok), pa.array(far, pa.int32())], names=["x", "y", "linked", "far"])
 
     return run
 
@@ -238,6 +248,32 @@ def _node() -> Column:
 
 def ngram_jaccard_groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, lower: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_shingles`` (long), ``component_id`` (long) for every row of ``docs``."""
+    return _joined(docs, k, num, den, lower, id_col, text_col, links=False)
+
+
+def ngram_jaccard_links(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, lower: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of ``ngram_jaccard_groups`` and ``n_links`` (long): how many other rows' texts link with the row's.
+
+    Where ids are null or repeat, rows are told apart by a number of their own, for which the table is
+    written once; links are counted by row then, and classes by id.
+    """
+    with Workspace(docs.sparkSession, "links") as ws:
+        if not docs.groupBy(id_col).count().where(F.col(id_col).isNull() | (F.col("count") > 1)).limit(1).count():
+            return _joined(docs, k, num, den, lower, id_col, text_col, links=True)
+        docs = ws.table(docs.select(id_col, text_col, F.monotonically_increasing_id().alias("_row")), "docs")
+        links = ws.table(_joined(docs, k, num, den, lower, "_row", text_col, links=True).join(docs.select("_row", F.col(id_col).alias("id")), "_row"), "links")
+        some = links.where("n_shingles > 0").select("id", F.col("component_id").alias("part"))
+        low = some.where("id is not null").groupBy("id").agg(F.min("part").alias("v"))
+        tied = components(some.join(low, "id").select(F.col("part").alias("u"), "v")).toDF("part", "whole")
+        parts = some.join(tied, "part", "left").withColumn("whole", F.coalesce("whole", "part"))
+        least = parts.groupBy("whole").agg(F.min("id").alias("least"))
+        of_part = parts.select("part", "whole").distinct().join(least, "whole").select(F.col("part").alias("component_id"), "least")
+        named = links.where("n_shingles > 0").join(of_part, "component_id").select("id", "n_shingles", "least", "n_links")
+        return ws.finish(named.union(links.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("least"), "n_links")).toDF(id_col, "n_shingles", "component_id", "n_links"))
+
+
+def _joined(docs: DataFrame, k: int, num: int, den: int, lower: bool, id_col: str, text_col: str, links: bool) -> DataFrame:
+    """With ``links``, ids are neither null nor repeated, so that a node is one set."""
     spark = docs.sparkSession
     source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     with Workspace(spark, "ngram") as ws:
@@ -250,8 +286,8 @@ def ngram_jaccard_groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5
         shared = spark.sparkContext.broadcast(levels)
 
         # the least id stands for a set; rows that repeat an id tie their sets together
-        classes = rows.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("id"), F.min("node").alias("other"), F.max("n").alias("n"))
-        classes = ws.table(classes.select("d1", "d2", F.coalesce("id", "other").alias("node")), "classes")
+        classes = rows.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("id"), F.min("node").alias("other"), F.count("*").alias("copies"))
+        classes = ws.table(classes.select("d1", "d2", F.coalesce("id", "other").alias("node"), "copies"), "classes")
         ties = rows.where("n > 0 and id is not null").groupBy("id").agg(F.min(F.struct("d1", "d2")).alias("a"), F.max(F.struct("d1", "d2")).alias("b")).where("a <> b").select("id")
         ties = rows.where("n > 0").join(ties, "id", "left_semi").select("id", "d1", "d2").distinct()
         ties = ties.join(classes, ["d1", "d2"]).select(F.col("id").alias("u"), F.col("node").alias("v"))
@@ -274,8 +310,8 @@ def ngram_jaccard_groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5
 
         def verified(pairs: DataFrame) -> DataFrame:
             pairs = pairs.join(texts.toDF("x", "px"), "x").join(texts.toDF("y", "py"), "y").select("x", "y", "px", "py")
-            checked = pairs.mapInArrow(_verify(k, lower, num, den), "x long, y long, linked boolean")
-            return checked.groupBy("x", "y").agg(F.max("linked").alias("linked"))
+            checked = pairs.mapInArrow(_verify(k, lower, num, den), "x long, y long, linked boolean, far int")
+            return checked.groupBy("x", "y").agg(F.max("linked").alias("linked"), F.min("far").alias("far"))
 
         def ordered(a: str, b: str) -> DataFrame:
             return live.where(f"{b} is not null").select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y"))
@@ -283,20 +319,35 @@ def ngram_jaccard_groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5
         first = ws.table(verified(ordered("node", "before").union(ordered("node", "best")).distinct()), "first")
         linked = first.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
         known = components(linked.union(ties))
-        rest = _rest(live, known, num, den).join(first, ["x", "y"], "left_anti")
+        near = known.select("node", F.col("component").alias("pivot"))
+        if links:
+            spans = verified(near.where("node <> pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y")))
+            near = ws.table(near.join(spans.select(F.col("y").alias("node"), "far"), "node", "left").withColumn("far", F.coalesce("far", F.lit(0))), "near")
+        else:
+            near = near.withColumn("far", F.lit(0))  # pairs of one component need no answer
+        rest = _rest(live, near, num, den).join(first, ["x", "y"], "left_anti")
         more = ws.table(verified(rest).where("linked").select(F.col("x").alias("u"), F.col("y").alias("v")), "more")
-        if more.limit(1).count():
-            known = components(known.toDF("u", "v").union(more))
-
-        of_class = classes.join(known, "node", "left").select("d1", "d2", F.col("node").alias("rep"), F.coalesce("component", "node").alias("component"))
-        out = rows.join(of_class, ["d1", "d2"], "left") if _has(rows) else rows.withColumn("component", F.lit(None).cast("long"))
+        joins = more
+        if links:
+            least_of = known.toDF("x", "component")
+            joins = more.join(least_of.toDF("u", "a"), "u", "left").join(least_of.toDF("v", "b"), "v", "left").where("coalesce(a, u) <> coalesce(b, v)").select("u", "v")
+        if joins.limit(1).count():
+            known = components(known.toDF("u", "v").union(joins))
+
+        number = F.lit(0).cast("long")
+        if links:
+            counts = ws.table(_counts(classes.select("node", "copies"), near, linked.union(more), num, den), "counts")
+            classes = classes.join(counts, "node", "left")
+            number = F.coalesce(F.col("copies") - 1 + F.coalesce("others", F.lit(0)), F.lit(0))
+        of_class = classes.join(known, "node", "left").select("d1", "d2", F.col("node").alias("rep"), F.coalesce("component", "node").alias("component"), number.alias("n_links"))
+        out = rows.join(of_class, ["d1", "d2"], "left") if _has(rows) else rows.withColumns({"component": F.lit(None).cast("long"), "n_links": F.lit(0).cast("long")})
         group = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-        out = out.select(F.col("id"), F.col("n"), group.alias("component"))
+        out = out.select(F.col("id"), F.col("n"), group.alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
         # a component's number may be that of a nameless row: then its least id counts
         least = out.where("component < 0").groupBy("component").agg(F.min("id").alias("least")) if _nameless(rows) else None
         if least is not None:
-            out = out.join(least, "component", "left").select("id", "n", F.when(F.col("component") < 0, F.col("least")).otherwise(F.col("component")).alias("component"))
-        result = ws.finish(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")))
+            out = out.join(least, "component", "left").select("id", "n", "n_links", F.when(F.col("component") < 0, F.col("least")).otherwise(F.col("component")).alias("component"))
+        result = ws.finish(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), *["n_links"] * links))
         shared.unpersist()
         bitmap.unpersist()
     return result
@@ -321,24 +372,46 @@ def _texts_of_nameless(k: int, lower: bool):
     return run
 
 
-def _rest(live: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs of different components, from index blocks that the bounds don't skip."""
-    entries = live.select("key", "node", "n", "pos").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = entries.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+def _sure(num: int, den: int) -> int:
+    """Two sets whose distances from one pivot, in ``PARTS``, add up to so much at most surely link."""
+    return PARTS * (den - num) // den
+
+
+def _counts(classes: DataFrame, near: DataFrame, linked: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, others): rows of other sets that link with the set; ``linked`` has all linked pairs that are not sure."""
+    most = _sure(num, den)
+    # one row a pivot and distance: at most ``most + 1`` of a pivot, whatever its sets
+    steps = near.where(f"far <= {most}").join(classes, "node").groupBy("pivot", "far").agg(F.sum("copies").alias("copies"))
+    steps = steps.groupBy("pivot").agg(F.collect_list(F.struct("far", "copies")).alias("steps")).withColumn("far", F.explode("steps.far"))
+    reach = F.expr(f"aggregate(filter(steps, s -> s.far <= {most} - far), 0L, (n, s) -> n + s.copies)")
+    sure = near.join(steps.select("pivot", "far", reach.alias("rows")), ["pivot", "far"]).join(classes, "node")
+    sure = sure.select("node", (F.col("rows") - F.when(F.col("far") * 2 <= most, F.col("copies")).otherwise(F.lit(0))).alias("others"))
+    pairs = linked.toDF("u", "v").join(near.toDF("u", "pu", "fu"), "u", "left").join(near.toDF("v", "pv", "fv"), "v", "left")
+    pairs = pairs.where(f"not coalesce(pu = pv and fu + fv <= {most}, false)").select("u", "v")
+    each = pairs.union(pairs.select("v", "u")).toDF("u", "node").join(classes, "node").select(F.col("u").alias("node"), F.col("copies").alias("others"))
+    return sure.union(each).groupBy("node").agg(F.sum("others").alias("others"))
+
+
+def _rest(live: DataFrame, near: DataFrame, num: int, den: int) -> DataFrame:
+    """Candidate pairs, from index blocks that the bounds don't skip, but those that the distances from one pivot decide."""
+    most = _sure(num, den)
+    entries = live.select("key", "node", "n", "pos").join(near, "node", "left").withColumns({"pivot": F.coalesce("pivot", "node"), "far": F.coalesce("far", F.lit(0))})
+    mixed = entries.groupBy("key").agg(F.min("pivot").alias("a"), F.max("pivot").alias("b"), F.max("far").alias("far")).where(f"a <> b or 2 * far > {most}").select("key")
     entries = entries.join(mixed, "key", "left_semi")
     block = F.expr(f"cast((row_number() over (partition by key, n order by pos, node) - 1) / {BLOCK} as int)")
     blocks = entries.withColumn("block", block).groupBy("key", "n", "block").agg(
-        F.collect_list(F.struct("pos", "node", "component")).alias("items"), F.min("pos").alias("low"), F.min("component").alias("c1"), F.max("component").alias("c2"))
+        F.collect_list(F.struct("pos", "node", "pivot", "far")).alias("items"), F.min("pos").alias("low"), F.min("pivot").alias("c1"), F.max("pivot").alias("c2"), F.max("far").alias("far"))
     pairs = blocks.alias("a").join(blocks.alias("b"), F.expr(f"""
         a.key = b.key and (a.n < b.n or (a.n = b.n and a.block <= b.block)) and a.n * {den} >= {num} * b.n
         and (1 + least(a.n - a.low - 1, b.n - b.low - 1)) * {num + den} >= {num} * (a.n + b.n)
-        and not (a.c1 = a.c2 and b.c1 = b.c2 and a.c1 = b.c1)"""))
-    sides = [F.col(f"{side}.items.{c}").alias(f"{c}_{side}") for side in "ab" for c in ("pos", "node", "component")]
+        and not (a.c1 = a.c2 and b.c1 = b.c2 and a.c1 = b.c1 and a.far + b.far <= {most})"""))
+    sides = [F.col(f"{side}.items.{c}").alias(f"{c}_{side}") for side in "ab" for c in ("pos", "node", "pivot", "far")]
     return pairs.select(F.col("a.n").alias("m"), F.col("b.n").alias("n"), *sides).mapInArrow(_across(num, den), "x long, y long").distinct()
 
 
 def _across(num: int, den: int):
-    """Pairs between two index blocks that the bounds leave and whose components differ."""
+    """Pairs between two index blocks that the bounds leave and that no pivot decides."""
+    most = _sure(num, den)
 
     def run(batches):
         for batch in batches:
@@ -349,11 +422,16 @@ def _across(num: int, den: int):
                 left = -(-num * (m + n) // (num + den))
                 side = {}
                 for s, size in (("a", m), ("b", n)):
-                    pos, node, component = (v[o[k] : o[k + 1]] for v, o in (lists[f"{c}_{s}"] for c in ("pos", "node", "component")))
+                    pos, node, pivot, far = (v[o[k] : o[k + 1]] for v, o in (lists[f"{c}_{s}"] for c in ("pos", "node", "pivot", "far")))
                     ok = size - pos >= left
-                    side[s] = node[ok], component[ok]
-                i, j = np.nonzero(side["a"][1][:, None] != side["b"][1][None, :])
-                found.append(np.stack([side["a"][0][i], side["b"][0][j]]))
+                    side[s] = node[ok], pivot[ok], far[ok].astype(np.int64)
+                x, y = (side[s][0] for s in "ab")
+                p, q = side["a"][2][:, None], side["b"][2][None, :]
+                # rounding makes a distance less than one part too large
+                decided = (p + q <= most) | ((np.abs(p - q) - 1) * den >= PARTS * (den - num))
+                decided &= side["a"][1][:, None] == side["b"][1][None, :]
+                i, j = np.nonzero(~decided & (x[:, None] != y[None, :]))
+                found.append(np.stack([x[i], y[j]]))
             if found:
                 both = np.concatenate(found, axis=1)
                 both = np.unique(np.sort(both, axis=0), axis=1)

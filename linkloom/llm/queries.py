@@ -13,7 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_jaccard_groups(table(spark, sf_dir, "documents"), k=3, num=9, den=10, lower=True)
+    return ngram_join.ngram_jaccard_links(table(spark, sf_dir, "documents"), k=3, num=9, den=10, lower=True)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,6 +96,40 @@ def test_ngram_groups_of_many_near_copies(spark):
     assert got == set(components_by_force(rows, 3, 9, 10))
 
 
+def links_by_force(rows, k, num, den):
+    sets = shingle_sets(rows, k)
+    return [sum(i != j and bool(s & t) and len(s & t) * den >= num * len(s | t) for j, t in enumerate(sets)) for i, s in enumerate(sets)]
+
+
+@pytest.mark.parametrize("k,num,den", [(3, 9, 10), (5, 4, 5), (3, 1, 3), (3, 1, 1)])
+@pytest.mark.parametrize("irregular", [True, False])
+def test_ngram_links(spark, k, num, den, irregular):
+    rows = corpus()
+    if not irregular:  # unique ids
+        rows = list({r[0]: r for r in rows if r[0] is not None}.values())
+    expected = [(*c, n) for c, n in zip(components_by_force(rows, k, num, den), links_by_force(rows, k, num, den), strict=True)]
+    got = ngram_join.ngram_jaccard_links(docs(spark, rows), k, num, den)
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "n_links"]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(expected, key=repr)
+
+
+def test_ngram_links_of_many_near_copies(spark):
+    rng = random.Random(2)
+    base = prose(rng, 150, 2000).split()
+    rows = []
+    for i in range(150):  # a chain, and copies that each differ from the first
+        near = base[:]
+        for x in range(i // 3):
+            near[(x * 7) % 150] = f"v{x}"
+        rows.append((1000 - i, " ".join(near), "s"))
+        near = base[:]
+        for x in range(i % 4):
+            near[rng.randrange(150)] = f"u{i}-{x}"
+        rows.append((2000 + i, " ".join(near), "s"))
+    got = {(r["doc_id"], r["n_links"]) for r in ngram_join.ngram_jaccard_links(docs(spark, rows), 3, 9, 10).collect()}
+    assert got == {(r[0], n) for r, n in zip(rows, links_by_force(rows, 3, 9, 10), strict=True)}
+
+
 def test_keep_one(spark):
     rows = [r for r in corpus() if r[0] is not None]
     table = docs(spark, rows)
