@@ -11,7 +11,7 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -99,6 +99,21 @@ def to_latin(c: Column, known: Column | None = None) -> Column:
     return _romanise_udf(folded)
 
 
+def foreign(c: Column | str) -> Column:
+    """Folded tokens of other scripts: those that ``to_latin`` looks up."""
+    return F.filter(F.split(fold(F.col(c) if isinstance(c, str) else c), r"(?U)\s+"), lambda t: (t != "") & ~is_latin(t))
+
+
+def with_known(df: DataFrame, id_col: str, words: Column, dictionary: DataFrame, name: str) -> DataFrame:
+    """``df`` with the entries of ``dictionary`` (key, value) for its ``words``, as the map column ``name``.
+
+    For dictionaries too large for a map literal; Spark broadcasts one only below its own size threshold.
+    """
+    needed = df.select(F.col(id_col).alias("_of"), F.explode(words).alias("key")).distinct()
+    found = needed.join(dictionary, "key").groupBy("_of").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias(name))
+    return df.join(found, df[id_col].eqNullSafe(found["_of"]), "left").drop("_of")
+
+
 def deleet(t: Column) -> Column:
     mixed = t.rlike("[a-z]") & t.rlike("[0-9]") & ~t.rlike("^[0-9]+(st|nd|rd|th)$")
     return F.when(mixed, F.translate(t, *vocab.LEET)).otherwise(t)
@@ -143,10 +158,14 @@ def normal_name(variants: Column) -> Column:
     return F.struct(F.array_join(F.element_at(full, -1), " ").alias("full"), F.element_at(cores, -1).alias("core"), cores.alias("cores"))
 
 
+def _parts(latin: Column) -> Column:
+    parts = F.transform(F.split(latin, ","), lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, r"[^a-z0-9/\- ]", " "), " +", " ")))
+    return F.filter(parts, lambda p: p != "")
+
+
 def components_of(latin: Column, country: Column, known: Column | None = None) -> Column:
     """Comma parts of a latinised address, in canonical form."""
-    parts = F.transform(F.split(latin, ","), lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, r"[^a-z0-9/\- ]", " "), " +", " ")))
-    parts = F.filter(parts, lambda p: p != "")
+    parts = _parts(latin)
     if known is not None:
         parts = F.transform(parts, lambda p: F.coalesce(known[p], p))
     return F.when(country == "us", F.transform(parts, lambda p: _lookup(vocab.US_STATES, p))).otherwise(parts)
@@ -184,12 +203,18 @@ def numbers(tokens: Column) -> Column:
     return F.transform(F.filter(tokens, lambda t: t.rlike("^[0-9]+$")), lambda t: F.regexp_replace(t, "^0+", ""))
 
 
-def prepare(records, translit: Column | None = None, component: Column | None = None):
+def prepare(records, translit: Column | DataFrame | None = None, component: Column | DataFrame | None = None):
     """Records in comparable form: name_full, name_core, name_vars, addr_n, comps, ctry.
 
     Each record is cleaned once; the Arrow steps run before the expressions that build on them.
+    Dictionaries are map columns or, beyond the size of a literal, tables (key, value).
     """
+    if isinstance(translit, DataFrame):
+        words = F.concat(foreign(clean_nulls(F.col("business_name"))), foreign(clean_nulls(F.col("business_address"))))
+        records, translit = with_known(records, "entity_id", words, translit, "_translit"), F.col("_translit")
     latin = records.select("entity_id", to_latin(clean_nulls(F.col("business_name")), translit).alias("_n"), to_latin(clean_nulls(F.col("business_address")), translit).alias("_a"), country(F.col("country")).alias("ctry"))
+    if isinstance(component, DataFrame):
+        latin, component = with_known(latin, "entity_id", _parts(F.col("_a")), component, "_component"), F.col("_component")
     named = latin.withColumn("_name", normal_name(variants_of(F.col("_n")))).withColumn("_comps", components_of(F.col("_a"), F.col("ctry"), component))
     return named.select(
         "entity_id", F.col("_name.full").alias("name_full"), F.col("_name.core").alias("name_core"),

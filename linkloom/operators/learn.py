@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.functions.text import clean_nulls, fold, is_latin, strip, to_latin
+from linkloom.functions.text import clean_nulls, fold, foreign, is_latin, strip, to_latin, with_known
 from linkloom.operators.labels import explode_truth
 
-#: Entries beyond which a dictionary is no map literal; the most frequent ones are kept.
+#: Entries beyond which a dictionary is no map literal but a table that is joined.
 MOST_ENTRIES = 20_000
 
 
@@ -63,9 +63,12 @@ def learn_component(cooc: DataFrame, min_count: int = 20, max_left: float = 0.05
     return best.where(F.col("n") / F.col("comp_n") >= min_share).select(F.col("c").alias("component"), F.col("t").alias("target"), "n")
 
 
-def rekeyed(component: DataFrame, translit: Column | None = None) -> DataFrame:
+def rekeyed(component: DataFrame, translit: Column | DataFrame | None = None) -> DataFrame:
     """Component entries as prepared addresses show them; empty, equal or digit-bearing ones go."""
     shape = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"[^a-z0-9/\- ]", " "), " +", " "))
+    if isinstance(translit, DataFrame):
+        component = with_known(component, "component", F.concat(foreign("component"), foreign("target")), translit, "_known")
+        translit = F.col("_known")
     latin = component.select(to_latin(F.col("component"), translit).alias("k"), to_latin(F.col("target"), translit).alias("v"), "n")
     out = latin.select(shape(F.col("k")).alias("component"), shape(F.col("v")).alias("target"), "n")
     out = out.where("component <> '' and target <> '' and component <> target").where(~F.concat("component", "target").rlike("[0-9]"))
@@ -73,9 +76,11 @@ def rekeyed(component: DataFrame, translit: Column | None = None) -> DataFrame:
     return out.withColumn("_at", one).where("_at = 1").drop("_at")
 
 
-def as_map(entries: DataFrame, key: str, value: str, most: int = MOST_ENTRIES) -> Column | None:
-    """A dictionary as a map literal; it has at most ``most`` entries, the most frequent."""
-    rows = entries.orderBy(F.desc("n"), key).limit(most).collect()
+def as_map(entries: DataFrame, key: str, value: str, most: int = MOST_ENTRIES) -> Column | DataFrame | None:
+    """A whole dictionary: a map literal of up to ``most`` entries, beyond that the table (key, value)."""
+    rows = entries.orderBy(F.desc("n"), key).limit(most + 1).collect()
     if not rows:
         return None
+    if len(rows) > most:
+        return entries.select(F.col(key).alias("key"), F.col(value).alias("value"))
     return F.map_from_arrays(F.array(*[F.lit(r[key]) for r in rows]), F.array(*[F.lit(r[value]) for r in rows]))

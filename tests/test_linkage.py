@@ -158,3 +158,20 @@ def test_train_predict_validate(spark, tmp_path):
     assert ok, found.collect()
     lists = tsv.read_tsv(spark, str(tmp_path / "out" / "matching_results.tsv"), tsv.TRUTH)
     assert lists.count() == left.count() and lists.where("matched_entity_ids <> ''").count() > 50
+
+
+def test_large_dictionaries_are_whole(spark):
+    from linkloom.functions.text import prepare
+
+    translit = spark.createDataFrame([("राज", "raj", 30), ("होटल", "hotel", 3), ("नगर", "nagar", 9)], "token string, target string, n long")
+    component = spark.createDataFrame([("महाराष्ट्र", "maharashtra west", 40), ("नगर", "old town", 20), ("mh", "maharashtra", 25)], "component string, target string, n long")
+    rows = [("a", "राज होटल", "12 नगर, mh", "in"), ("b", "Plain Name", "1 main st, MH, नगर", "in"), ("c", None, None, None), ("d", "होटल & अन्य", "महाराष्ट्र", "us"), ("d", "राज नगर", "x, नगर", "us")]
+    records = spark.createDataFrame(rows, "entity_id string, business_name string, business_address string, country string")
+
+    def prepared(most):
+        known = learn.as_map(translit, "token", "target", most)
+        parts = learn.as_map(learn.rekeyed(component, known), "component", "target", most)
+        return sorted(map(tuple, prepare(records, known, parts).collect()))
+
+    whole = prepared(20_000)
+    assert prepared(1) == whole and any("raj hotel" in r for r in whole)
