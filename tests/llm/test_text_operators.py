@@ -474,6 +474,13 @@ def test_url_lists(spark):
         assert sorted([(r["page_id"], r["n_active"], r["blocked"]) for r in got]) == sorted([(p, force(u, d), force(u, d) > 0) for p, u, d in rows])
 
 
+def test_url_paths_below_domains(spark):
+    entries = spark.createDataFrame([(p, date(2024, 1, 1), "add") for p in ("example.com/spam", "HTTPS://u@Shop.org:8080/Deals/?q#f", "http://plain.net./")], "pattern string, at date, action string")
+    urls = {"http://www.example.com/spam/x": 1, "http://example.com/spam": 1, "http://www.example.com/spammer": 0, "http://notexample.com/spam": 0, "http://a.shop.org/deals": 1, "http://shop.org/": 0, "http://plain.net/a": 1}
+    captures = spark.createDataFrame([(k, u, date(2024, 1, 2)) for k, u in enumerate(urls)], "page_id long, url string, fetched date")
+    assert {r["url"]: r["n_active"] for r in url_lists.judge(captures, entries).collect()} == urls
+
+
 @pytest.mark.parametrize("least", [0, 10])
 def test_warc(spark, least):
     rows = [(5, "http://a/ b", "<p>same é</p>"), (3, "http://b", "<p>same é</p>"), (9, None, "<p>same é</p>"), (1, "http://c", None), (2, "http://d", ""), (7, "u", "x" * 100_000), (3, "http://b", "<p>same é</p>"), (None, "n", "alone"), (None, "n", "<p>same é</p>"), (8, "u", "tiny"), (4, "u", "tiny")]
