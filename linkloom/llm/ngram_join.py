@@ -18,13 +18,21 @@ Method
      takes over the answers already known (the component) of its like.
   4. The rest: of all lists, those pairs that the bounds leave *and* whose
      components still differ are verified in full, so that no link is lost.
-  5. Numbers of links (``ngram_jaccard_links``): every set is measured against
-     its component's least one, its pivot.  Jaccard distance is a metric, so two
-     sets of one pivot whose distances from it add up to no more than
-     ``1 - num / den`` surely link: they are counted from the pivot's histogram of
-     distances.  Where the distances differ by more, they surely don't.  Step 4
-     verifies all other pairs, of one component or of two.
-  Steps 3 to 5 send texts, deflated, only of classes that have a candidate.
+  5. Numbers of links (``ngram_jaccard_links``): a component's least set is its
+     pivot P, and each member S is known by its difference from P alone: the
+     elements it lacks and those it has more.  The answers for two members follow
+     from the pivot's: |S & T| = |P| - lacks(S) - lacks(T) + shared, where shared is
+     the size of the intersection of the two differences.  With the cost
+     ``den * lacks + num * more`` of a member, S and T link exactly if
+     ``(num + den) * shared >= cost(S) + cost(T) - (den - num) * |P|``.  Pairs whose
+     right side is 0 or less link whatever they share: they are counted from the
+     pivot's histogram of costs, never listed.  The others must share so many
+     elements, which asks for a common element in short prefixes of their
+     differences, rare elements first; candidates are decided on the differences.
+     Step 4 has all pairs of different components.
+  Steps 3 to 5 send texts, deflated, only of classes that have a candidate; of a
+  pair, the text of the set that many others are compared with is joined last, so
+  that it isn't copied for each of them.
 
 Defined cases: a text of fewer than ``k`` words is one shingle (its whole
 sequence); a null, empty or wordless text has ``n_shingles`` 0 and is linked with
@@ -41,7 +49,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _bitmap
@@ -53,8 +61,6 @@ from ._workspace import Workspace
 BITS, PART = 20, 1 << 14
 #: Entries of an index block.
 BLOCK = 256
-#: Distances are rounded up to so many parts of one.
-PARTS = 1 << 12
 _SHIFT = np.uint64(64 - BITS)
 
 
@@ -208,35 +214,65 @@ def _chosen(bitmap):
     return run
 
 
+def _pairs_of_sets(k: int, lower: bool, batches):
+    """(part of a batch, the sets of its ``x`` and of its ``y``).  Pairs come sorted by ``x``, so that its set is
+    built once for all partners that follow."""
+    known: dict = {}
+    for batch in batches:
+        for a in range(0, batch.num_rows, 512):
+            part = batch.slice(a, 512)
+            px, py = part.column("px").to_pylist(), part.column("py").to_pylist()
+            need = {p: None for p in [*px, *py] if p not in known}
+            known = {p: known[p] for p in {*px, *py} if p in known}
+            if need:
+                texts = pa.record_batch([pa.array([zlib.decompress(p) for p in need], pa.binary())], names=["text"])
+                order = list(need)
+                for first, h, cuts in _sets(texts, k, lower):
+                    for i in range(len(cuts) - 1):
+                        known[order[first + i]] = h[cuts[i] : cuts[i + 1]].copy()
+            yield part, [known[p] for p in px], [known[p] for p in py]
+
+
+def _within(s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """For each element of ``s`` whether it is in ``t``; both are sorted."""
+    return t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s if len(t) else np.zeros(len(s), bool)
+
+
 def _verify(k: int, lower: bool, num: int, den: int):
-    """Pairs with both texts: whether their sets reach the threshold, and their distance in ``PARTS``.  Pairs
-    come sorted by ``y``, so that a set is built once for all partners that follow."""
+    """Pairs with both texts: whether their sets reach the threshold."""
 
     def run(batches):
-        known: dict = {}
-        for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                us, vs = part.column("x").to_pylist(), part.column("y").to_pylist()
-                pu, pv = part.column("px").to_pylist(), part.column("py").to_pylist()
-                need = {p: None for p in [*pu, *pv] if p not in known}
-                known = {p: known[p] for p in {*pu, *pv} if p in known}
-                if need:
-                    texts = pa.record_batch([pa.array([zlib.decompress(p) for p in need], pa.binary())], names=["text"])
-                    order = list(need)
-                    for first, h, cuts in _sets(texts, k, lower):
-                        for i in range(len(cuts) - 1):
-                            known[order[first + i]] = h[cuts[i] : cuts[i + 1]].copy()
-                ok, far = [], []
-                for p, q in zip(pu, pv, strict=True):
-                    s, t = known[p], known[q]
-                    if len(s) > len(t):
-                        s, t = t, s
-                    common = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum()) if len(s) else 0
-                    union = len(s) + len(t) - common
-                    ok.append(common * den >= num * union and common > 0)
-                    far.append(-(-PARTS * (union - common) // max(union, 1)))
-                yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(ok), pa.array(far, pa.int32())], names=["x", "y", "linked", "far"])
+        for part, left, right in _pairs_of_sets(k, lower, batches):
+            ok = []
+            for s, t in zip(left, right, strict=True):
+                if len(s) > len(t):
+                    s, t = t, s
+                common = int(_within(s, t).sum())
+                ok.append(common * den >= num * (len(s) + len(t) - common) and common > 0)
+            yield pa.record_batch([part.column("x"), part.column("y"), pa.array(ok)], names=["x", "y", "linked"])
+
+    return run
+
+
+KIN = "node long, pivot long, cost long, most long, diff array<long>"
+
+
+def _differences(k: int, lower: bool, num: int, den: int, levels):
+    """Pairs of a pivot ``x`` and a member ``y``: the member's cost, the cost up to which two members surely link,
+    and its difference from the pivot; what it has more stands first, and rare elements before others."""
+
+    def run(batches):
+        rank = levels.value
+        for part, pivots, members in _pairs_of_sets(k, lower, batches):
+            cost, most, found = [], [], []
+            for p, s in zip(pivots, members, strict=True):
+                lacks, more = p[~_within(p, s)], s[~_within(s, p)]
+                found += [d[np.argsort(rank[(d >> _SHIFT).astype(np.int64)], kind="stable")] for d in (more, lacks)]
+                cost.append(den * len(lacks) + num * len(more))
+                most.append((den - num) * len(p))
+            ends = np.cumsum([0, *(len(found[i]) + len(found[i + 1]) for i in range(0, len(found), 2))]).astype(np.int32)
+            diff = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
+            yield pa.record_batch([part.column("y"), part.column("x"), pa.array(cost, pa.int64()), pa.array(most, pa.int64()), diff], names=["node", "pivot", "cost", "most", "diff"])
 
     return run
 
@@ -308,35 +344,30 @@ def _joined(docs: DataFrame, k: int, num: int, den: int, lower: bool, id_col: st
         texts = texts.select("node", "text", _bitmap.slot("node").alias("slot")).mapInArrow(_chosen(bitmap), "node long, packed binary")
         texts = ws.table(texts.join(nodes, "node", "left_semi").distinct(), "texts")
 
-        def verified(pairs: DataFrame) -> DataFrame:
-            pairs = pairs.join(texts.toDF("x", "px"), "x").join(texts.toDF("y", "py"), "y").select("x", "y", "px", "py")
-            checked = pairs.mapInArrow(_verify(k, lower, num, den), "x long, y long, linked boolean, far int")
-            return checked.groupBy("x", "y").agg(F.max("linked").alias("linked"), F.min("far").alias("far"))
+        def with_texts(pairs: DataFrame) -> DataFrame:
+            """``x`` may be a set that many others are compared with."""
+            return pairs.join(texts.toDF("y", "py"), "y").join(texts.toDF("x", "px"), "x").select("x", "y", "px", "py")
 
-        def ordered(a: str, b: str) -> DataFrame:
-            return live.where(f"{b} is not null").select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y"))
+        def verified(pairs: DataFrame) -> DataFrame:
+            checked = with_texts(pairs).mapInArrow(_verify(k, lower, num, den), "x long, y long, linked boolean")
+            return checked.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.max("linked").alias("linked"))
 
-        first = ws.table(verified(ordered("node", "before").union(ordered("node", "best")).distinct()), "first")
+        partners = live.select(F.col("before").alias("x"), F.col("node").alias("y")).union(live.select("best", "node")).where("x is not null")
+        first = ws.table(verified(partners.distinct()), "first")
         linked = first.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
         known = components(linked.union(ties))
         near = known.select("node", F.col("component").alias("pivot"))
-        if links:
-            spans = verified(near.where("node <> pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y")))
-            near = ws.table(near.join(spans.select(F.col("y").alias("node"), "far"), "node", "left").withColumn("far", F.coalesce("far", F.lit(0))), "near")
-        else:
-            near = near.withColumn("far", F.lit(0))  # pairs of one component need no answer
         rest = _rest(live, near, num, den).join(first, ["x", "y"], "left_anti")
         more = ws.table(verified(rest).where("linked").select(F.col("x").alias("u"), F.col("y").alias("v")), "more")
-        joins = more
-        if links:
-            least_of = known.toDF("x", "component")
-            joins = more.join(least_of.toDF("u", "a"), "u", "left").join(least_of.toDF("v", "b"), "v", "left").where("coalesce(a, u) <> coalesce(b, v)").select("u", "v")
-        if joins.limit(1).count():
-            known = components(known.toDF("u", "v").union(joins))
+        if more.limit(1).count():
+            known = components(known.toDF("u", "v").union(more))
 
         number = F.lit(0).cast("long")
         if links:
-            counts = ws.table(_counts(classes.select("node", "copies"), near, linked.union(more), num, den), "counts")
+            kin = with_texts(near.select(F.col("pivot").alias("x"), F.col("node").alias("y"))).mapInArrow(_differences(k, lower, num, den, shared), KIN)
+            kin = ws.table(kin, "kin")
+            pairs = ws.table(linked.union(more).union(_kindred(kin, num, den)).distinct(), "pairs")
+            counts = ws.table(_counts(classes.select("node", "copies"), kin, pairs), "counts")
             classes = classes.join(counts, "node", "left")
             number = F.coalesce(F.col("copies") - 1 + F.coalesce("others", F.lit(0)), F.lit(0))
         of_class = classes.join(known, "node", "left").select("d1", "d2", F.col("node").alias("rep"), F.coalesce("component", "node").alias("component"), number.alias("n_links"))
@@ -372,46 +403,59 @@ def _texts_of_nameless(k: int, lower: bool):
     return run
 
 
-def _sure(num: int, den: int) -> int:
-    """Two sets whose distances from one pivot, in ``PARTS``, add up to so much at most surely link."""
-    return PARTS * (den - num) // den
-
-
-def _counts(classes: DataFrame, near: DataFrame, linked: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, others): rows of other sets that link with the set; ``linked`` has all linked pairs that are not sure."""
-    most = _sure(num, den)
-    # one row a pivot and distance: at most ``most + 1`` of a pivot, whatever its sets
-    steps = near.where(f"far <= {most}").join(classes, "node").groupBy("pivot", "far").agg(F.sum("copies").alias("copies"))
-    steps = steps.groupBy("pivot").agg(F.collect_list(F.struct("far", "copies")).alias("steps")).withColumn("far", F.explode("steps.far"))
-    reach = F.expr(f"aggregate(filter(steps, s -> s.far <= {most} - far), 0L, (n, s) -> n + s.copies)")
-    sure = near.join(steps.select("pivot", "far", reach.alias("rows")), ["pivot", "far"]).join(classes, "node")
-    sure = sure.select("node", (F.col("rows") - F.when(F.col("far") * 2 <= most, F.col("copies")).otherwise(F.lit(0))).alias("others"))
-    pairs = linked.toDF("u", "v").join(near.toDF("u", "pu", "fu"), "u", "left").join(near.toDF("v", "pv", "fv"), "v", "left")
-    pairs = pairs.where(f"not coalesce(pu = pv and fu + fv <= {most}, false)").select("u", "v")
+def _kindred(kin: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v): members of one pivot that link, of those pairs that their costs alone don't decide."""
+    size, both = F.size("diff"), num + den
+    # a pair needs c + d - most shared elements, times num + den; with d >= c that is 2c - most, and since nothing
+    # shares more than its own difference, at least c - most over den whichever of the two costs more
+    low = F.greatest(F.lit(1), F.ceil((F.col("cost") * 2 - F.col("most")) / both)).cast("int")
+    high = F.greatest(F.lit(1), F.ceil((F.col("cost") - F.col("most")) / den)).cast("int")
+    long = F.greatest(F.lit(0), size - high + 1)
+    entries = kin.where(size > 0).select("pivot", "node", "cost", "most", size.alias("size"), (size - low + 1).alias("short"), F.posexplode(F.slice("diff", F.lit(1), long)).alias("pos", "key"))
+    found = entries.where("pos < short").alias("a").join(entries.alias("b"), F.expr(f"""
+        a.pivot = b.pivot and a.key = b.key and (a.cost < b.cost or (a.cost = b.cost and a.node < b.node)) and a.cost + b.cost > a.most
+        and least(a.size - a.pos, b.size - b.pos) * {both} >= a.cost + b.cost - a.most"""))
+    found = found.select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct()
+    side = lambda n: kin.select(F.col("node").alias(n), F.col("cost").alias(f"c{n}"), F.col("diff").alias(f"d{n}"))
+    met = found.join(side("x"), "x").join(side("y").join(kin.select(F.col("node").alias("y"), "most"), "y"), "y")
+    met = met.where(F.size(F.array_intersect("dx", "dy")) * both >= F.col("cx") + F.col("cy") - F.col("most"))
+    return met.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
+
+
+def _counts(classes: DataFrame, kin: DataFrame, linked: DataFrame) -> DataFrame:
+    """(node, others): rows of other sets that link with the set; ``linked`` has all linked pairs that costs don't decide."""
+    near = kin.select("node", "pivot", "cost", "most")
+    # one row a pivot and cost: what its sets, however many, add up to
+    steps = near.where("cost <= most").join(classes, "node").groupBy("pivot", "cost").agg(F.sum("copies").alias("copies"), F.first("most").alias("most"))
+    # a set of cost c links with all sets of cost most - c at most: a running sum over costs, asked for at most - c
+    told = steps.selectExpr("pivot", "cost as at", "0 as asks", "copies", "cost").union(steps.selectExpr("pivot", "most - cost", "1", "0L", "cost"))
+    reach = told.withColumn("rows", F.sum("copies").over(Window.partitionBy("pivot").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0)))
+    sure = near.join(reach.where("asks = 1").select("pivot", "cost", "rows"), ["pivot", "cost"]).join(classes, "node")
+    sure = sure.select("node", (F.col("rows") - F.when(F.col("cost") * 2 <= F.col("most"), F.col("copies")).otherwise(F.lit(0))).alias("others"))
+    pairs = linked.toDF("u", "v").join(near.toDF("u", "pu", "cu", "most"), "u", "left").join(near.toDF("v", "pv", "cv", "_"), "v", "left")
+    pairs = pairs.where("not coalesce(pu = pv and cu + cv <= most, false)").select("u", "v")
     each = pairs.union(pairs.select("v", "u")).toDF("u", "node").join(classes, "node").select(F.col("u").alias("node"), F.col("copies").alias("others"))
     return sure.union(each).groupBy("node").agg(F.sum("others").alias("others"))
 
 
 def _rest(live: DataFrame, near: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs, from index blocks that the bounds don't skip, but those that the distances from one pivot decide."""
-    most = _sure(num, den)
-    entries = live.select("key", "node", "n", "pos").join(near, "node", "left").withColumns({"pivot": F.coalesce("pivot", "node"), "far": F.coalesce("far", F.lit(0))})
-    mixed = entries.groupBy("key").agg(F.min("pivot").alias("a"), F.max("pivot").alias("b"), F.max("far").alias("far")).where(f"a <> b or 2 * far > {most}").select("key")
+    """Candidate pairs of different components, from index blocks that the bounds don't skip."""
+    entries = live.select("key", "node", "n", "pos").join(near, "node", "left").withColumn("pivot", F.coalesce("pivot", "node"))
+    mixed = entries.groupBy("key").agg(F.min("pivot").alias("a"), F.max("pivot").alias("b")).where("a <> b").select("key")
     entries = entries.join(mixed, "key", "left_semi")
     block = F.expr(f"cast((row_number() over (partition by key, n order by pos, node) - 1) / {BLOCK} as int)")
     blocks = entries.withColumn("block", block).groupBy("key", "n", "block").agg(
-        F.collect_list(F.struct("pos", "node", "pivot", "far")).alias("items"), F.min("pos").alias("low"), F.min("pivot").alias("c1"), F.max("pivot").alias("c2"), F.max("far").alias("far"))
+        F.collect_list(F.struct("pos", "node", "pivot")).alias("items"), F.min("pos").alias("low"), F.min("pivot").alias("c1"), F.max("pivot").alias("c2"))
     pairs = blocks.alias("a").join(blocks.alias("b"), F.expr(f"""
         a.key = b.key and (a.n < b.n or (a.n = b.n and a.block <= b.block)) and a.n * {den} >= {num} * b.n
         and (1 + least(a.n - a.low - 1, b.n - b.low - 1)) * {num + den} >= {num} * (a.n + b.n)
-        and not (a.c1 = a.c2 and b.c1 = b.c2 and a.c1 = b.c1 and a.far + b.far <= {most})"""))
-    sides = [F.col(f"{side}.items.{c}").alias(f"{c}_{side}") for side in "ab" for c in ("pos", "node", "pivot", "far")]
+        and not (a.c1 = a.c2 and b.c1 = b.c2 and a.c1 = b.c1)"""))
+    sides = [F.col(f"{side}.items.{c}").alias(f"{c}_{side}") for side in "ab" for c in ("pos", "node", "pivot")]
     return pairs.select(F.col("a.n").alias("m"), F.col("b.n").alias("n"), *sides).mapInArrow(_across(num, den), "x long, y long").distinct()
 
 
 def _across(num: int, den: int):
-    """Pairs between two index blocks that the bounds leave and that no pivot decides."""
-    most = _sure(num, den)
+    """Pairs of different components between two index blocks that the bounds leave."""
 
     def run(batches):
         for batch in batches:
@@ -422,16 +466,11 @@ def _across(num: int, den: int):
                 left = -(-num * (m + n) // (num + den))
                 side = {}
                 for s, size in (("a", m), ("b", n)):
-                    pos, node, pivot, far = (v[o[k] : o[k + 1]] for v, o in (lists[f"{c}_{s}"] for c in ("pos", "node", "pivot", "far")))
+                    pos, node, pivot = (v[o[k] : o[k + 1]] for v, o in (lists[f"{c}_{s}"] for c in ("pos", "node", "pivot")))
                     ok = size - pos >= left
-                    side[s] = node[ok], pivot[ok], far[ok].astype(np.int64)
-                x, y = (side[s][0] for s in "ab")
-                p, q = side["a"][2][:, None], side["b"][2][None, :]
-                # rounding makes a distance less than one part too large
-                decided = (p + q <= most) | ((np.abs(p - q) - 1) * den >= PARTS * (den - num))
-                decided &= side["a"][1][:, None] == side["b"][1][None, :]
-                i, j = np.nonzero(~decided & (x[:, None] != y[None, :]))
-                found.append(np.stack([x[i], y[j]]))
+                    side[s] = node[ok], pivot[ok]
+                i, j = np.nonzero(side["a"][1][:, None] != side["b"][1][None, :])
+                found.append(np.stack([side["a"][0][i], side["b"][0][j]]))
             if found:
                 both = np.concatenate(found, axis=1)
                 both = np.unique(np.sort(both, axis=0), axis=1)
