@@ -34,7 +34,8 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeats(table(spark, sf_dir, "documents"), length=400)
+    """Beside the 400-byte repeats, the bytes of repeated passages: 50 words of three letters are 200 bytes."""
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"), length=400, passage=200)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,11 +22,15 @@ Method
      Their windows are merged across shards by their 128-bit fingerprints, dealt
      out by range: each row finds its range by binary search over the bounds.
   5. Texts that are equal as a whole are taken once; their copies go entirely.
+  6. With ``passage``, a smaller length, ``repeats`` also gives the bytes that
+     repeated strings of that length cover.  These are found first, over all bytes;
+     whatever repeats over ``length`` bytes lies within them, so that the steps above
+     then look at these stretches only.
 
 Text is moved twice, deflated, and only of texts with a key that occurs again.
 
 Defined cases: a null text counts as empty; texts shorter than ``length`` keep
-everything; rows are judged by their text, so ids may be null or repeat (each
+everything; ``length`` and ``passage`` are more than ``GRAM``; rows are judged by their text, so ids may be null or repeat (each
 row then is a copy of its like); an empty table gives an empty result; other
 columns pass through ``strip_repeats`` and are ignored by ``repeats``.  A text
 must fit in one task's memory.
@@ -52,6 +56,10 @@ from ._workspace import Workspace
 GRAM = 48
 #: Bytes of contexts that one suffix array covers, and contexts of one key that go to one shard.
 SHARD, MOST_CONTEXTS = 1 << 20, 8_192
+#: Bytes of contexts of one task, where the cluster's cores have several tasks each anyway.
+TASK = 64 << 20
+#: As many keys of many contexts are broadcast at most; of more, they are joined.
+MOST_BROADCAST = 100_000
 
 
 def text_id(raw: bytes) -> tuple[int, int]:
@@ -104,6 +112,28 @@ ITEM = "key long, context long, t1 long, t2 long, first int, last int"
 DEALT = ITEM + ", whole boolean, deal long"
 
 
+def _items(pieces: list[np.ndarray], ids: list[tuple[int, int]], bases: list[int], length: int) -> pa.RecordBatch:
+    """Items of pieces of texts; ``ids`` are the texts', ``bases`` the pieces' places in them."""
+    text = np.concatenate(pieces)
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in pieces])])
+    first, last, lo, hi, prefix = window_anchors(text, bounds, length)
+    doc = B.owners(first, bounds)
+    t = np.array(ids, np.int64)[doc]
+    key = B.span_hash(prefix, lo, hi) ^ np.where(lo - first == hi - GRAM - first, np.uint64(0), np.uint64(0x6A09E667F3BCC909))
+    # the core's place in its window is not part of the key; the context's bounds are part of the context
+    context = B.mix(B.span_hash(prefix, first, last + length) + (lo - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    _, one, like, many = np.unique(B.mix(key ^ B.mix(context)), return_index=True, return_inverse=True, return_counts=True)
+    again = np.flatnonzero(many[like] > 1)
+    pick = np.concatenate([np.sort(one), again])
+    whole = np.arange(len(pick)) >= len(one)
+    key, context = key.view(np.int64)[pick], context.view(np.int64)[pick]
+    shift = np.array(bases, np.int64)[doc[pick]] - bounds[doc[pick]]
+    t, first, last = t[pick], first[pick] + shift, last[pick] + shift
+    deal = np.where(whole, B.mix(t[:, 0].view(np.uint64) + first.astype(np.uint64)).view(np.int64), key)
+    columns = [pa.array(key), pa.array(context), pa.array(t[:, 0]), pa.array(t[:, 1]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(whole), pa.array(deal)]
+    return pa.record_batch(columns, names=["key", "context", "t1", "t2", "first", "last", "whole", "deal"])
+
+
 def _anchors(length: int):
     """Every (anchor, side) of every distinct text of a task; first and last are offsets in its text.
 
@@ -111,7 +141,6 @@ def _anchors(length: int):
     to its key; all go past it as ``whole``, so a passage or line that is everywhere
     does not gather at its key.
     """
-    names = ["key", "context", "t1", "t2", "first", "last", "whole", "deal"]
 
     def run(batches):
         seen: set = set()
@@ -120,34 +149,53 @@ def _anchors(length: int):
             for a, b in B.slices(offsets):
                 ids, keep = [], []
                 for i in range(a, b):
-                    size = offsets[i + 1] - offsets[i]
-                    if size < length:
+                    if offsets[i + 1] - offsets[i] < length:
                         continue
                     t = text_id(data[offsets[i] : offsets[i + 1]].tobytes())
                     if t not in seen:
                         seen.add(t)
                         ids.append(t)
-                        keep.append(i)
+                        keep.append(data[offsets[i] : offsets[i + 1]])
                 if len(seen) > 200_000:
                     seen.clear()  # a copy that is sent twice does no harm
-                if not keep:
-                    continue
-                text = np.concatenate([data[offsets[i] : offsets[i + 1]] for i in keep])
-                bounds = np.concatenate([[0], np.cumsum([offsets[i + 1] - offsets[i] for i in keep])])
-                first, last, lo, hi, prefix = window_anchors(text, bounds, length)
-                doc = B.owners(first, bounds)
-                t = np.array(ids, np.int64)[doc]
-                key = B.span_hash(prefix, lo, hi) ^ np.where(lo - first == hi - GRAM - first, np.uint64(0), np.uint64(0x6A09E667F3BCC909))
-                # the core's place in its window is not part of the key; the context's bounds are part of the context
-                context = B.mix(B.span_hash(prefix, first, last + length) + (lo - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                _, one, like, many = np.unique(B.mix(key ^ B.mix(context)), return_index=True, return_inverse=True, return_counts=True)
-                again = np.flatnonzero(many[like] > 1)
-                pick = np.concatenate([np.sort(one), again])
-                whole = np.arange(len(pick)) >= len(one)
-                key, context = key.view(np.int64)[pick], context.view(np.int64)[pick]
-                t, first, last, base = t[pick], first[pick], last[pick], bounds[doc[pick]]
-                deal = np.where(whole, B.mix(t[:, 0].view(np.uint64) + first.astype(np.uint64)).view(np.int64), key)
-                yield pa.record_batch([pa.array(key), pa.array(context), pa.array(t[:, 0]), pa.array(t[:, 1]), pa.array((first - base).astype(np.int32)), pa.array((last - base).astype(np.int32)), pa.array(whole), pa.array(deal)], names=names)
+                if keep:
+                    yield _items(keep, ids, [0] * len(keep), length)
+
+    return run
+
+
+def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
+    """Maximal runs of spans that overlap or touch."""
+    runs: list[list[int]] = []
+    for a, b in sorted(spans):
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], b)
+        else:
+            runs.append([a, b])
+    return runs
+
+
+def _anchors_within(length: int):
+    """The same of the stretches of texts that shorter repeats cover."""
+
+    def run(batches):
+        pieces, ids, bases, held = [], [], [], 0
+        for batch in batches:
+            for packed, spans, t1, t2 in zip(*(batch.column(c).to_pylist() for c in ("packed", "spans", "t1", "t2")), strict=True):
+                raw = None
+                for a, b in merged([(x["start"], x["stop"]) for x in spans]):
+                    if b - a < length:
+                        continue
+                    raw = np.frombuffer(zlib.decompress(packed), np.uint8) if raw is None else raw
+                    if held and held + b - a > B.SLICE:
+                        yield _items(pieces, ids, bases, length)
+                        pieces, ids, bases, held = [], [], [], 0
+                    pieces.append(raw[a:b].copy())
+                    ids.append((t1, t2))
+                    bases.append(a)
+                    held += b - a
+        if pieces:
+            yield _items(pieces, ids, bases, length)
 
     return run
 
@@ -288,14 +336,23 @@ def kasai(text: np.ndarray, bounds: np.ndarray, order: np.ndarray, rank: np.ndar
     """Common prefix of each suffix (by place) with the one before it in the array.
 
     Kasai's bound, lcp(p + 1) >= lcp(p) - 1, is carried along all strings at once.
+    Eight bytes are compared first, then 64 at a time where they are alike.
     """
     n = len(text)
     sizes = np.diff(bounds)
     end = np.repeat(bounds[1:], sizes).astype(np.int32)
     before = np.where(rank > 0, order[np.maximum(rank - 1, 0)], np.int32(-1))
+    padded = np.concatenate([text, np.zeros(72, np.uint8)])
+    word = np.ndarray((n + 65,), "<u8", padded.data, strides=(1,)).astype(np.uint64)
+    ahead = np.arange(0, 64, 8)
     lcp = np.zeros(n, np.int32)
     lanes = np.flatnonzero(sizes > 0)
     have = np.zeros(len(sizes), np.int32)
+
+    def alike(apart):
+        """Equal bytes at the start of words, from their exclusive or."""
+        return np.where(apart == 0, 8, np.bitwise_count((apart & (~apart + np.uint64(1))) - np.uint64(1)) >> 3)
+
     for step in range(int(sizes.max()) if len(sizes) else 0):
         lanes = lanes[sizes[lanes] > step]
         p = bounds[lanes] + step
@@ -303,11 +360,18 @@ def kasai(text: np.ndarray, bounds: np.ndarray, order: np.ndarray, rank: np.ndar
         l = np.where(q >= 0, have[lanes], 0)
         top = np.where(q >= 0, np.minimum(end[p] - p, end[np.maximum(q, 0)] - q), 0)
         go = np.flatnonzero(l < top)
+        at = l[go]
+        more = alike(word[p[go] + at] ^ word[q[go] + at])
+        l[go] = np.minimum(at + more, top[go])
+        go = go[(more == 8) & (l[go] < top[go])]
         while len(go):
-            same = text[p[go] + l[go]] == text[q[go] + l[go]]
-            go = go[same]
-            l[go] += 1
-            go = go[l[go] < top[go]]
+            at = l[go]
+            apart = word[(p[go] + at)[:, None] + ahead] ^ word[(q[go] + at)[:, None] + ahead]
+            differs = apart != 0
+            first = differs.argmax(1)
+            more = np.where(differs.any(1), 8 * first + alike(apart[np.arange(len(go)), first]), 64)
+            l[go] = np.minimum(at + more, top[go])
+            go = go[(more == 64) & (l[go] < top[go])]
         lcp[p] = l
         have[lanes] = np.maximum(l - 1, 0)
     return lcp
@@ -375,27 +439,25 @@ def _shards(length: int):
 
 
 def _outcome(texts: bool):
-    """What is left of each text, from its spans: its digest, and the text if asked for."""
+    """What is left of each text without its long spans: its digest, and the text if asked for; and the bytes of all spans."""
 
     def run(batches):
         for batch in batches:
             out = []
             for packed, spans in zip(batch.column("packed").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 raw = zlib.decompress(packed)
-                kept, runs, removed, at = [], [], 0, 0
-                for s in sorted((x["start"], x["stop"]) for x in spans):
-                    if runs and s[0] <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], s[1])
-                    else:
-                        runs.append([*s])
+                runs = merged([(x["start"], x["stop"]) for x in spans if x["long"]])
+                covered = sum(b - a for a, b in merged([(x["start"], x["stop"]) for x in spans]))
+                kept, removed, at = [], 0, 0
                 for a, b in runs:
                     kept.append(raw[at:a])
                     removed, at = removed + b - a, b
                 kept.append(raw[at:])
                 left = b"".join(kept)
-                out.append((removed, len(runs), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore").encode() if texts else b""))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.record_batch([batch.column("t1"), batch.column("t2"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], names=["t1", "t2", "n_removed", "n_spans", "kept_sha256", "kept"])
+                out.append((removed, len(runs), hashlib.sha256(left).hexdigest(), covered, left.decode("utf-8", "ignore").encode() if texts else b""))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 5
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary())
+            yield pa.record_batch([batch.column("t1"), batch.column("t2"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["t1", "t2", "n_removed", "n_spans", "kept_sha256", "covered", "kept"])
 
     return run
 
@@ -428,46 +490,80 @@ def _identified(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("t1", T.LongType()), T.StructField("t2", T.LongType())]))
 
 
-def _find(texts: DataFrame, length: int, ws: Workspace, kept: bool = False, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
-    """(t1, t2, n_removed, n_spans, kept_sha256, kept) of the texts that lose something to another or to themselves."""
-    items = texts.mapInArrow(_anchors(length), DEALT).repartition("deal").sortWithinPartitions("key", "context", "t1", "t2", "first")
-    company = ws.table(items.mapInArrow(_company, ITEM + ", whole boolean"), "company")
-    wanted = company.select("t1", "t2").distinct()
+def _packed_texts(texts: DataFrame, wanted: DataFrame, ws: Workspace) -> DataFrame:
+    """(t1, t2, packed) of the distinct texts that ``wanted`` names."""
     chosen = _bitmap.only(_identified(texts, "text"), _bitmap.build(wanted, "t1", "t2"), ["t1", "t2"], True)
-    packed = chosen.join(wanted, ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"]).select("text").mapInArrow(_packed, "t1 long, t2 long, packed binary")
-    packed = ws.table(packed, "texts")
+    chosen = chosen.join(wanted, ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"]).select("text")
+    return ws.table(chosen.mapInArrow(_packed, "t1 long, t2 long, packed binary"), "texts")
 
-    several = company.where("not whole")
+
+def _with_salt(several: DataFrame, most_contexts: int) -> DataFrame:
+    """``salt``: -1, or the shard of a key of more than ``most_contexts`` contexts."""
     hot = several.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most_contexts).select("key", F.ceil(F.col("n") * 2 / most_contexts).cast("int").alias("parts"))
-    salt = F.when(F.col("parts").isNull(), F.lit(-1)).otherwise(F.pmod("context", F.col("parts")).cast("int"))
-    several = several.join(hot, "key", "left").withColumn("salt", salt)
-    several = several.groupBy("t1", "t2").agg(F.collect_list(F.struct("key", "salt", "first", "last")).alias("items"))
+    hot = hot.checkpoint()
+    hot = F.broadcast(hot) if hot.count() <= MOST_BROADCAST else hot
+    return several.join(hot, "key", "left").withColumn("salt", F.when(F.col("parts").isNull(), F.lit(-1)).otherwise(F.pmod("context", F.col("parts")).cast("int")))
+
+
+def _spans_of(items: DataFrame, length: int, ws: Workspace, name: str, texts: DataFrame, most_contexts: int, packed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(t1, t2, start, stop) of windows that repeat, and the texts that have any candidate."""
+    items = items.repartition("deal").sortWithinPartitions("key", "context", "t1", "t2", "first")
+    company = ws.table(items.mapInArrow(_company, ITEM + ", whole boolean"), f"company{name}")
+    if packed is None:
+        packed = _packed_texts(texts, company.select("t1", "t2").distinct(), ws)
+    several = company.where("not whole")
+    size = several.agg(F.sum(F.col("last") - F.col("first") + length)).first()[0] or 0
+    tasks = max(-(-size // TASK), min(-(-size // SHARD), 4 * several.sparkSession.sparkContext.defaultParallelism), 1)
+    several = _with_salt(several, most_contexts).groupBy("t1", "t2").agg(F.collect_list(F.struct("key", "salt", "first", "last")).alias("items"))
     contexts = several.join(packed, ["t1", "t2"]).mapInArrow(_cut(length), "key long, salt int, t1 long, t2 long, first int, bytes binary")
-    contexts = contexts.repartition("key", "salt").sortWithinPartitions("key", "salt")
-    spans = ws.table(contexts.mapInArrow(_shards(length), SPANS), "spans")
+    contexts = contexts.repartition(tasks, "key", "salt").sortWithinPartitions("key", "salt")
+    spans = ws.table(contexts.mapInArrow(_shards(length), SPANS), f"spans{name}")
 
     loose = spans.where("f1 is not null")
     again = loose.repartitionByRange("f1", "f2").groupBy("f1", "f2").agg(F.count("*").alias("n")).where("n > 1").select("f1", "f2")
-    merged = loose.join(again, ["f1", "f2"], "left_semi").select("t1", "t2", "start", "stop")
+    across = loose.join(again, ["f1", "f2"], "left_semi").select("t1", "t2", "start", "stop")
     whole = company.where("whole").select("t1", "t2", F.col("first").alias("start"), (F.col("last") + length).cast("int").alias("stop"))
-    every = spans.where("f1 is null").select("t1", "t2", "start", "stop").union(merged).union(whole)
-    every = every.groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return every.join(packed, ["t1", "t2"]).mapInArrow(_outcome(kept), "t1 long, t2 long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return spans.where("f1 is null").select("t1", "t2", "start", "stop").union(across).union(whole), packed
+
+
+def _find(texts: DataFrame, length: int, ws: Workspace, kept: bool = False, most_contexts: int = MOST_CONTEXTS, passage: int | None = None) -> DataFrame:
+    """(t1, t2, n_removed, n_spans, kept_sha256, covered, kept) of the texts that share something with another or with themselves."""
+    least = min(length, passage or length)
+    if least <= GRAM:
+        raise ValueError(f"repeats of at least {GRAM + 1} bytes can be found")
+    every, packed = _spans_of(texts.mapInArrow(_anchors(least), DEALT), least, ws, "", texts, most_contexts)
+    gather = lambda df: df.groupBy("t1", "t2").agg(F.collect_list(F.struct(*[c for c in df.columns if c not in ("t1", "t2")])).alias("spans")).join(packed, ["t1", "t2"])
+    if least == length:
+        every = every.withColumn("long", F.lit(True))
+    else:
+        every = ws.table(every, "short")
+        within = gather(every).mapInArrow(_anchors_within(length), DEALT)
+        longer, _ = _spans_of(within, length, ws, "-long", texts, most_contexts, packed)
+        every = every.withColumn("long", F.lit(False)).union(longer.withColumn("long", F.lit(True)))
+    return gather(every).mapInArrow(_outcome(kept), "t1 long, t2 long, n_removed long, n_spans long, kept_sha256 string, covered long, kept binary")
 
 
-def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", most_contexts: int = MOST_CONTEXTS) -> DataFrame:
-    """``id_col``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` for every row of ``docs``."""
+def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", most_contexts: int = MOST_CONTEXTS, passage: int | None = None) -> DataFrame:
+    """``id_col``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` for every row of ``docs``.
+
+    With ``passage`` (less than ``length``) also ``n_passage_bytes``: the bytes that strings of so many
+    bytes cover which also start elsewhere; nothing is removed for them.
+    """
     with Workspace(docs.sparkSession, "repeats") as ws:
         source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-        found = _find(source.select("text"), length, ws, most_contexts=most_contexts).drop("kept")
+        found = _find(source.select("text"), length, ws, most_contexts=most_contexts, passage=passage).drop("kept")
         rows = ws.table(source.mapInArrow(_named, f"id {dict(source.dtypes)['id']}, t1 long, t2 long, n_bytes long, sha string"), "rows")
-        copies = rows.where(F.col("n_bytes") >= length).groupBy("t1", "t2").agg(F.count("*").alias("n")).where("n > 1").select("t1", "t2", F.lit(True).alias("copied"))
+        copies = rows.where(F.col("n_bytes") >= min(length, passage or length)).groupBy("t1", "t2").agg(F.count("*").alias("n")).where("n > 1").select("t1", "t2", F.lit(True).alias("copied"))
         out = rows.join(found.join(copies, ["t1", "t2"], "full"), ["t1", "t2"], "left")
+        copied = F.coalesce("copied", F.lit(False))
+        gone = copied & (F.col("n_bytes") >= length)
+        covered = F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("covered", F.lit(0))).cast("long").alias("n_passage_bytes")
         out = out.select(
             F.col("id").alias(id_col), "n_bytes",
-            F.when(F.col("copied"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-            F.when(F.col("copied"), F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-            F.when(F.col("copied"), F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"))
+            F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+            F.when(gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
+            F.when(gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+            *[covered] * (passage is not None))
         return ws.finish(out)
 
 

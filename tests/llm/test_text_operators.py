@@ -221,6 +221,15 @@ def test_repeats(spark, most):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(removed_by_force(rows, 400), key=repr)
 
 
+def test_passages(spark):
+    rows = repeat_corpus()
+    got = suffix_dedup.repeats(docs(spark, rows), 400, most_contexts=16, passage=200).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=repr) == sorted(removed_by_force(rows, 400), key=repr)
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_passage_bytes"]) for r in got) == Counter(r[:3] for r in removed_by_force(rows, 200))
+    with pytest.raises(ValueError, match="at least"):
+        suffix_dedup.repeats(docs(spark, rows), 48)
+
+
 def test_strip_repeats(spark):
     rows = [r for r in repeat_corpus() if r[0] not in (450, 451, 455)]
     table = docs(spark, rows).withColumn("t1", F.lit(1)).withColumn("kept", F.lit("clash"))
