@@ -7,8 +7,11 @@ coordinate and an L1 term that leaves most weights at zero, so the model is a
 short sorted list of (feature, weight), which is broadcast.
 
 Fitting sees at most ``MOST_LABELLED`` labelled rows: the least by md5 of doc_id
-among the rows of each label, toxic and not (``MOST_TOXIC`` of the first).  It
-runs in one task.  Scoring is one pass over all texts, without a shuffle.
+among the rows of each label, toxic and not (``MOST_TOXIC`` of the first).  Their
+features are made where the rows are, the gradient steps run in one task.  All
+weights are broadcast: a coordinate needs gradients of more than ``L1`` in all, of
+at most one for each of its examples and epochs, so with six epochs each of them
+stands for two occurrences or more in that sample.  Scoring is one pass over all texts, without a shuffle.
 
 Defined cases: a null, empty or wordless text scores as the bias alone; rows are
 scored one by one, so ids may be null or repeat (a null id counts as '' in
@@ -32,8 +35,6 @@ from ._workspace import bounded
 SPACE_BITS = 40
 MOST_LABELLED, MOST_TOXIC = 9_000, 4_000
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 8.0, 0.0, 6
-#: A weight list longer than this isn't broadcast: its least weights in size go.
-MOST_WEIGHTS = 1 << 20
 _KIND = [np.uint64(x) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)]
 _SOLID = np.zeros(256, bool)
 _SOLID[48:58] = _SOLID[65:91] = _SOLID[97:123] = _SOLID[128:] = True
@@ -91,8 +92,6 @@ def ftrl(examples: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray
             n[ix] = ni + g * g
     w = np.where(np.abs(z) > l1, -(z - np.sign(z) * l1) / ((BETA + np.sqrt(n)) / ALPHA + L2), 0.0)
     kept = np.flatnonzero(w[:-1])
-    if len(kept) > MOST_WEIGHTS:
-        kept = np.sort(kept[np.argsort(-np.abs(w[kept]), kind="stable")[:MOST_WEIGHTS]])
     return names[kept], w[kept].astype(np.float32), float(w[-1])
 
 
@@ -121,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     clean = known.where("toxic = 0").orderBy("place").limit(MOST_LABELLED - MOST_TOXIC)
     sample = toxic.union(clean)  # MOST_LABELLED rows at most: broadcast
     found = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(sample), "id").select("place", "toxic", "text").dropDuplicates(["place"])
-    found = found.mapInArrow(_featured, "place string, toxic int, features binary").coalesce(1)
+    found = found.mapInArrow(_featured, "place string, toxic int, features binary").repartition(1)
     row = found.mapInArrow(_train, "names binary, weights binary, bias double").first()
     if row is None:
         return ftrl([])
