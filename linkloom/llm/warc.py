@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from ._workspace import Workspace
 
 #: A new archive begins beyond this size; a coalesced read ends at READ bytes or at a gap over GAP.
-ARCHIVE, READ, GAP = 1 << 30, 8 << 20, 64 << 10
+ARCHIVE, READ, GAP, STRETCH = 1 << 30, 8 << 20, 64 << 10, 64 << 20
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "file string, offset long, length long, url string, digest string, page_id long, record_type string"
 READ_BACK = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -176,10 +176,14 @@ def _reader(root: str):
 def read(selected: DataFrame, root: str) -> DataFrame:
     """The records of ``selected`` rows of an index.
 
-    Tasks take stretches of 64 MB of an archive, so that one large archive is read by many.
+    Tasks take stretches of at most ``STRETCH`` bytes of an archive, so that one large archive is read by
+    many; their number follows from the bytes to be read, not from those of the index.
     """
-    stretch = F.floor(F.col("offset") / (64 << 20)).alias("stretch")
-    ranges = selected.select("file", "offset", "length", stretch).repartition("file", "stretch").sortWithinPartitions("file", "offset")
+    size = selected.agg(F.sum("length")).first()[0] or 0
+    cores = selected.sparkSession.sparkContext.defaultParallelism
+    step = max(min(STRETCH, size // (4 * cores)), 1 << 20)
+    stretch = F.floor(F.col("offset") / step).alias("stretch")
+    ranges = selected.select("file", "offset", "length", stretch).repartition(max(-(-size // step), 1), "file", "stretch").sortWithinPartitions("file", "offset")
     return ranges.mapInArrow(_reader(root), READ_BACK)
 
 
