@@ -2,7 +2,8 @@
 
 Benchmark items are cut into windows of ``WINDOW`` normalised bytes, half
 overlapping (a shorter item is its own window).  A document leaks an item when some
-window matches a region of it with at most ``rate`` edits per byte.
+window matches a region of it with at most ``rate`` edits per byte.  An item of fewer
+than ``SHORT`` normalised bytes must stand in the text as it is, as whole words.
 
 Method
   1. Texts are normalised: A-Z lower-cased, every run of other ASCII than letters
@@ -18,8 +19,8 @@ Documents are read once per block of ``BLOCK_BYTES`` of benchmark text, which is
 most that is broadcast at a time; nothing is shuffled.  A document's hits are found
 in its own task.
 
-Defined cases: null or empty texts and items have no match; items of fewer than
-``LEAST`` normalised bytes are no evidence and are ignored; items that repeat an
+Defined cases: null or empty texts and items, and items without a letter or digit,
+have no match; items that repeat an
 id, or have none, are matched each; rows are judged one by one, so doc_ids may be
 null or repeat; an empty benchmark finds nothing, an empty table gives an empty
 result; other columns pass through ``filter_docs`` and are ignored by ``leaks``.
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from . import _bytes as B
 from ._workspace import bounded
 
-Q, WINDOW, LEAST, RATE = 8, 100, 32, 0.10
+Q, WINDOW, SHORT, RATE = 8, 100, 32, 0.10
 BLOCK_BYTES = 2 << 20
 _BITS = 22
 _SOLID = np.zeros(256, bool)
@@ -73,21 +74,29 @@ class Windows:
 
     def __init__(self, items: list[tuple[int | None, str]], rate: float):
         self.item_ids = [i for i, _ in items]
-        self.item, self.bytes = [], []
+        self.item, self.bytes, exact = [], [], []
+        words: dict[int, dict[int, list[int]]] = {}  # items of fewer bytes than a gram: length, bytes, windows
         for k, (_, text) in enumerate(items):
             raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
             norm, _, _ = normalise(raw, np.array([0, len(raw)])) if len(raw) else (raw, None, None)
             if len(norm) and norm[-1] == 32:
                 norm = norm[:-1]
-            if len(norm) < LEAST:
+            if len(norm) and norm[0] == 32:
+                norm = norm[1:]
+            if not len(norm):
                 continue
+            if len(norm) < Q:
+                words.setdefault(len(norm), {}).setdefault(int.from_bytes(norm.tobytes(), "little"), []).append(len(self.bytes))
             starts = sorted({*range(0, max(len(norm) - WINDOW, 0) + 1, WINDOW // 2), max(len(norm) - WINDOW, 0)})
             for s in starts:
                 self.item.append(k)
                 self.bytes.append(norm[s : s + WINDOW])
+                exact.append(len(norm) < SHORT)
         self.size = np.array([len(b) for b in self.bytes], np.int64)
-        self.edits = np.array([budget(n, rate) for n in self.size.tolist()], np.int64)
-        self.least = self.size - Q + 1 - Q * self.edits
+        self.exact = np.array(exact, bool)
+        self.edits = np.array([0 if e else budget(n, rate) for n, e in zip(self.size.tolist(), exact, strict=True)], np.int64)
+        self.least = np.maximum(self.size - Q + 1 - Q * self.edits, 1)
+        self.words = {n: (np.array(sorted(found), np.uint64), [found[x] for x in sorted(found)]) for n, found in words.items()}
         found = [grams(b) for b in self.bytes] or [np.zeros(0, np.uint64)]
         every = np.concatenate(found)
         window = np.repeat(np.arange(len(self.bytes)), [len(g) for g in found][: len(self.bytes)])
@@ -125,10 +134,43 @@ def align(w: Windows, window: np.ndarray, text: np.ndarray, low: np.ndarray, bou
 
 def matches(w: Windows, raw: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     """(doc, window, edits, start, stop) of verified bands of a run of documents; places are bytes of the texts."""
-    none = {k: np.zeros(0, np.int64) for k in ("doc", "window", "edits", "start", "stop")}
-    if not len(w.gram) or not len(raw):
+    names = ("doc", "window", "edits", "start", "stop")
+    none = {k: np.zeros(0, np.int64) for k in names}
+    if not len(w.bytes) or not len(raw):
         return none
     text, limits, place = normalise(raw, bounds)
+    parts = [_regions(w, text, limits, place) if len(w.gram) else none, *_whole_words(w, text, limits, place)]
+    return {k: np.concatenate([p[k] for p in parts]) for k in names}
+
+
+def _edges(text: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a word begins, and whether one has ended, at each place of normalised texts."""
+    begins, ended = np.zeros(len(text) + 1, bool), np.zeros(len(text) + 1, bool)
+    begins[limits] = ended[limits] = True
+    begins[1:] |= np.append(text == 32, False)[:-1]
+    ended[:-1] |= text == 32
+    return begins, ended
+
+
+def _whole_words(w: Windows, text: np.ndarray, limits: np.ndarray, place: np.ndarray):
+    """Matches of items that are too short for a gram."""
+    if not w.words or not len(text):
+        return
+    begins, ended = _edges(text, limits)
+    ahead = grams(np.concatenate([text, np.zeros(Q - 1, np.uint8)]))
+    for n, (values, windows) in w.words.items():
+        at = np.flatnonzero(begins[: len(text)] & np.append(ended[n:], np.zeros(n, bool))[: len(text)])
+        at = at[at + n <= limits[B.owners(at, limits) + 1]]
+        seen = ahead[at] & np.uint64((1 << 8 * n) - 1)
+        found = np.minimum(np.searchsorted(values, seen), len(values) - 1)
+        hit = np.flatnonzero(values[found] == seen)
+        many = np.array([len(windows[f]) for f in found[hit].tolist()], np.int64)
+        at, window = np.repeat(at[hit], many), np.array([x for f in found[hit].tolist() for x in windows[f]], np.int64)
+        yield {"doc": B.owners(at, limits), "window": window, "edits": np.zeros(len(at), np.int64), "start": place[at] if len(at) else at, "stop": place[at + n - 1] + 1 if len(at) else at}
+
+
+def _regions(w: Windows, text: np.ndarray, limits: np.ndarray, place: np.ndarray) -> dict[str, np.ndarray]:
+    none = {k: np.zeros(0, np.int64) for k in ("doc", "window", "edits", "start", "stop")}
     g = grams(text)
     at = np.flatnonzero(w.map[(g * _MUL >> np.uint64(64 - _BITS)).astype(np.int64)])
     found = np.minimum(np.searchsorted(w.gram, g[at]), len(w.gram) - 1)
@@ -151,8 +193,9 @@ def matches(w: Windows, raw: np.ndarray, bounds: np.ndarray) -> dict[str, np.nda
     wide = np.maximum(w.edits[window], 1)
     diagonal = at - w.offset[post] + (1 << 20)
     band = diagonal // wide
+    bits = (len(text) + (1 << 20)).bit_length()
     # a band needs ``least`` hits by itself or with its neighbour: count single ones before doubling
-    single = (doc * len(w.size) + window) * (1 << 26) + band
+    single = (doc * len(w.size) + window) * (1 << bits) + band
     order = np.argsort(single, kind="stable")
     single, at = single[order], at[order]
     cut = np.ones(len(single), bool)
@@ -165,16 +208,21 @@ def matches(w: Windows, raw: np.ndarray, bounds: np.ndarray) -> dict[str, np.nda
     follows[:-1] = np.where(key[1:] == key[:-1] + 1, hits[1:], 0)
     begins = np.ones(len(key), bool)
     begins[1:] = key[1:] != key[:-1] + 1
-    window = key // (1 << 26) % len(w.size)
+    window = key // (1 << bits) % len(w.size)
     kept = np.flatnonzero(hits + follows >= w.least[window])
     if not len(kept):
         return none
     key, window = key[kept], window[kept]
-    doc, band = key // (1 << 26) // len(w.size), key % (1 << 26)
+    doc, band = key // (1 << bits) // len(w.size), key % (1 << bits)
     wide = np.maximum(w.edits[window], 1)
     low = band * wide - (1 << 20) - wide
     edits = np.concatenate([align(w, window[i : i + 4096], text, low[i : i + 4096], (limits[doc[i : i + 4096]], limits[doc[i : i + 4096] + 1]), int(4 * wide[i : i + 4096].max())) for i in range(0, len(kept), 4096)])
     good = edits <= w.edits[window]
+    if w.exact.any():  # the one place where a short item can stand is the band's first hit
+        begins, ended = _edges(text, limits)
+        begin = at[first[kept]]
+        stop = np.minimum(begin + w.size[window], len(text))
+        good &= ~w.exact[window] | (hits[kept] >= w.least[window]) & begins[begin] & ended[stop]
     seen = first[kept][good], last[kept][good]
     return {"doc": doc[good], "window": window[good], "edits": edits[good].astype(np.int64), "start": place[at[seen[0]]], "stop": place[np.minimum(at[seen[1]] + Q, len(place)) - 1] + 1}
 
