@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._workspace import fresh
+
 BITS = 23
 
 
@@ -38,7 +40,7 @@ def only(df: DataFrame, shared, keys: list[str], want: bool) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            keep = hit(shared, batch.column("_slot").to_numpy()) == want
-            yield batch.select([c for c in batch.schema.names if c != "_slot"]).filter(pa.array(keep))
+            keep = hit(shared, batch.column(batch.num_columns - 1).to_numpy()) == want
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], schema=pa.schema(list(batch.schema)[:-1])).filter(pa.array(keep))
 
-    return df.withColumn("_slot", slot(*keys)).mapInArrow(run, df.schema)
+    return df.select("*", slot(*keys).alias(fresh("_slot", df.columns))).mapInArrow(run, df.schema)

@@ -13,17 +13,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: For a local master alone, whose driver and executor are one process.
 FALLBACK_DIR = "/tmp/linkloom-checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The folder of ``spark.checkpoint.dir``; one of our own only where it is unset and the master local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if found is None:
         current = context._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = FALLBACK_DIR
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(found)
@@ -45,6 +48,14 @@ def bounded(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, or what is like it and no column of ``taken`` (whatever the case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = bounded(spark)
@@ -65,7 +76,8 @@ class Workspace:
         """Write ``df`` once and read it back."""
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").option("compression", "lz4_raw").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        # read whole or nearly: looking filters up in dictionaries first would only open each file twice
+        return self.spark.read.schema(df.schema).option("parquet.filter.dictionary.enabled", "false").parquet(path)
 
     def release(self, name: str) -> None:
         self.drop(f"{self.root}/{name}")

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._workspace import Workspace
+from ._workspace import Workspace, fresh
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: A word with the white space after it, and the first one with that before it.
@@ -127,15 +127,15 @@ def mix_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     with Workspace(docs.sparkSession, "mix-texts") as ws:
         row = id_col
         if docs.groupBy(id_col).count().where(F.col(id_col).isNull() | (F.col("count") > 1)).limit(1).count():
-            row = "_row"
+            row = fresh("_row", docs.columns)
             docs = ws.table(docs.withColumn(row, F.monotonically_increasing_id()), "docs")
         spans = mix_spans(docs, id_col=id_col, text_col=text_col, keep=(row,) if row != id_col else (), **how)
-        spans = spans.where(F.size("spans") > 0).select(F.col(row).alias("_of"), F.struct("size", "source_size", "target", "spans").alias("_mix"))
+        spans = spans.where(F.size("spans") > 0).select(F.col(row).alias(of := fresh("_of", docs.columns)), F.struct("size", "source_size", "target", "spans").alias(mix := fresh("_mix", docs.columns)))
         # only now do texts travel, once
-        out = docs.join(spans, docs[row] == spans["_of"]).withColumn(text_col, _text(F.col(text_col), F.col("_mix.spans")))
+        out = docs.join(spans, docs[row] == spans[of]).withColumn(text_col, _text(F.col(text_col), F.col(f"{mix}.spans")))
         if size_col in names:
             out = out.withColumn(size_col, F.length(text_col).cast(kinds[size_col]))
-        out = out.select(*[c for c in names if c not in ("size", "source_size", "target", "taken")], "_mix.size", "_mix.source_size", "_mix.target", taken(F.col("_mix.spans")).alias("taken"))
+        out = out.select(*[c for c in names if c not in ("size", "source_size", "target", "taken")], f"{mix}.size", f"{mix}.source_size", f"{mix}.target", taken(F.col(f"{mix}.spans")).alias("taken"))
         return ws.finish(out) if row != id_col else out
 
 

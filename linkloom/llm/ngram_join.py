@@ -55,7 +55,7 @@ from pyspark.sql import functions as F
 from . import _bitmap
 from . import _bytes as B
 from ._graph import components
-from ._workspace import Workspace
+from ._workspace import Workspace, fresh
 
 #: Cells of the table that orders shingles: 2^BITS counts of one byte are broadcast.
 BITS, PART = 20, 1 << 14
@@ -488,7 +488,7 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, lower: boo
     with Workspace(docs.sparkSession, "keep-one") as ws:
         row = id_col
         if docs.groupBy(id_col).count().where(F.col(id_col).isNull() | (F.col("count") > 1)).limit(1).count():
-            row = "_row"
+            row = fresh("_row", docs.columns)
             docs = ws.table(docs.withColumn(row, F.monotonically_increasing_id()), "docs")
         groups = ngram_jaccard_groups(docs, k, num, den, lower, row, text_col)
         gone = groups.where(F.col(row) != F.col("component_id")).select(row)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -283,6 +284,18 @@ def test_leaks(spark):
     assert {r["doc_id"] for r in kept.collect()} == {100 + k for k in range(20)} | {200, 201}
 
 
+def test_short_items_stand_as_words(spark):
+    items = ["q7", "zz top", "too short by far", "x" * 10, "?!", "Q7."]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = ["Q7", "a q7, b", "q77 aq7 q 7", "the zz  TOP!", "azz top", "zz topped", "is too short, by far", "is too short by fare", "x" * 10, "x" * 11, "too short by fa", "", "q7 zz top q7"]
+    plain = [" " + " ".join("".join(c if c.isalnum() else " " for c in t.lower()).split()) + " " for t in texts]
+    wanted = {(k, j) for k, t in enumerate(plain) for j, i in enumerate(items) if (w := " ".join("".join(c if c.isalnum() else " " for c in i.lower()).split())) and f" {w} " in t}
+    got = decontaminate.leaks(docs(spark, [(k, t, "s") for k, t in enumerate(texts)]), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == wanted and len(got) == len(wanted)
+    for r in got:
+        assert 0 <= r["start"] < r["stop"] <= len(texts[r["doc_id"]])
+
+
 def test_lemma_and_alignment_against_force():
     """Every region within the budget is found: windows of one item against all places of a text."""
     rng = random.Random(9)
@@ -384,6 +397,40 @@ def test_toxicity_learns(spark):
     assert len(held) > 60 and np.mean([(r["score"] >= 0.5) == known[r["doc_id"]] for r in held]) > 0.95
 
 
+def test_ftrl_against_a_plain_one():
+    """The same rule, feature by feature in plain Python."""
+    rng = random.Random(4)
+    examples = [(y, np.unique(np.array([rng.randrange(40) + (100 * y if rng.random() < 0.7 else 0) for _ in range(rng.randint(1, 25))], np.uint64))) for y in (rng.randint(0, 1) for _ in range(200))]
+    z, n = Counter(), Counter()
+
+    def weight(f):
+        l1 = 0.0 if f is None else toxicity.L1
+        return 0.0 if abs(z[f]) <= l1 else -(z[f] - (l1 if z[f] > 0 else -l1)) / ((toxicity.BETA + n[f] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    order = np.random.Generator(np.random.PCG64(7))
+    for _ in range(toxicity.EPOCHS):
+        for e in order.permutation(len(examples)):
+            y, fs = examples[e][0], [*examples[e][1].tolist(), None]
+            w = {f: weight(f) for f in fs}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for f in fs:
+                z[f] += g - ((n[f] + g * g) ** 0.5 - n[f] ** 0.5) / toxicity.ALPHA * w[f]
+                n[f] += g * g
+    names, weights, bias = toxicity.ftrl(examples)
+    plain = {f: weight(f) for f in z if f is not None and weight(f)}
+    assert plain.keys() == set(names.tolist()) and len(plain) < 80
+    assert all(abs(plain[f] - w) < 1e-5 for f, w in zip(names.tolist(), weights.tolist(), strict=True))
+    assert abs(bias - weight(None)) < 1e-9
+
+
+def test_clashing_helper_names(spark):
+    rows = [(1, "a b c d e f g h", "s"), (None, "a b c d e f g h", "s"), (2, "other words than these are here", "s")]
+    table = docs(spark, rows).withColumns({"_row": F.lit("mine"), "_slot": F.lit("mine"), "_MIX": F.lit("mine"), "_of": F.lit("mine")})
+    for left in (ngram_join.keep_one(table), mixture.mix_texts(table)):
+        assert {"_row", "_slot", "_MIX", "_of"} <= set(left.columns)
+        assert {tuple(r) for r in left.select("_row", "_slot", "_MIX", "_of").collect()} <= {("mine",) * 4}
+
+
 def test_mixture(spark):
     rng = random.Random(11)
     rows = [(i, prose(rng, rng.randint(0, 400)), rng.choice(["b", "b", "b", "a", "é", "z", None])) for i in range(500)] + [(None, "a b c", "a"), (3, "again here", "a"), (3, "again here", "a"), (700, None, "only null")]
