@@ -25,8 +25,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes that 400-byte repeats cover; those with nothing left go."""
-    return suffix_dedup.strip_repeats(docs.select(*COLUMNS), length=400)
+    """Documents without the bytes that 200-byte repeats cover (50 words of three letters); those with nothing left go."""
+    return suffix_dedup.strip_repeats(docs.select(*COLUMNS), length=200)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
