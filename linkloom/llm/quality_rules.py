@@ -2,14 +2,14 @@
 
 Each rule looks at a document and votes good, votes bad, or abstains.  No rule
 is trusted: expectation-maximisation over the votes of all documents estimates
-how often each rule gives each vote on good and on bad documents (a rule that
-votes at random gets no say), and a document stays when the posterior
+how often each rule gives each vote on good and on bad documents, and a document stays when the posterior
 probability that it is good is at least ``keep_from``.
 
-With R rules there are at most 3^R patterns of votes.  The first pass counts
-patterns; the driver gets those counts alone (at most ``3 ** len(RULES)`` rows,
-whatever the input) and fits; the second pass looks patterns up.  No shuffle but
-that of the counts, no per-document state.
+With R rules there are at most 3^R patterns of votes.  One pass measures the
+documents; the driver gets the patterns' counts alone (at most ``3 ** len(RULES)``
+rows, whatever the input) and fits.  ``judge`` writes its narrow rows before that
+and looks their patterns up; ``filter_docs`` measures the texts once more rather
+than write them.  No shuffle but that of the counts, no per-document state.
 
 Defined cases: a null text counts as empty; an empty or wordless text fails the
 base rules; each row is judged by its text alone, so ids may be null or repeat;
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._workspace import bounded
+from ._workspace import Workspace, bounded
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -51,9 +51,9 @@ RULES = (
     ("unlettered_share", 0.35, 0.22),
 )
 #: What is expected of a rule beforehand: its rates of abstaining, bad and good votes on bad and on good
-#: documents, counting as many votes as ``BELIEF`` times the documents.  Rules of one kind seldom meet on
-#: one document (shouting, tables, repeats), so votes alone could settle on any split; this names the classes.
-EXPECTED, BELIEF = np.array([[0.10, 0.40, 0.50], [0.03, 0.02, 0.95]]), 0.2
+#: documents, counting as many votes of each class as ``BELIEF``, however many documents there are: it only
+#: matters to tables of a few hundred rows.  A rule that votes at random is left with no more say than this.
+EXPECTED, BELIEF = np.array([[0.10, 0.40, 0.50], [0.03, 0.02, 0.95]]), 100
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -147,7 +147,7 @@ def base_failed(m: dict[str, np.ndarray]) -> np.ndarray:
 def fit(patterns: dict[int, int], steps: int = 200) -> np.ndarray:
     """Posterior probability of good for each of the 3^R patterns, by EM over pattern counts.
 
-    Starts from ``EXPECTED``, which says which of the two classes is the good one.
+    Starts from fewer bad votes being better, which says which of the two classes is the good one.
     """
     r = len(RULES)
     code = np.arange(3**r)
@@ -162,7 +162,7 @@ def fit(patterns: dict[int, int], steps: int = 200) -> np.ndarray:
         prior = (weight.sum(1) + 1) / (total + 2)
         log = np.log(prior)[:, None] + np.zeros((2, len(code)))
         for i in range(r):
-            odds = np.stack([weight[:, digit[i] == v].sum(1) for v in range(3)], 1) + BELIEF * total * EXPECTED
+            odds = np.stack([weight[:, digit[i] == v].sum(1) for v in range(3)], 1) + BELIEF * EXPECTED
             odds /= odds.sum(1, keepdims=True)
             log += np.log(odds)[:, digit[i]]
         new = 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
@@ -194,24 +194,29 @@ def posterior(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return fit({r["code"]: r["docs"] for r in found.groupBy("code").agg(F.sum("docs").alias("docs")).collect()})
 
 
+def _measured(batches):
+    for batch in batches:
+        a = 0
+        for m in _runs(batch.column("text")):
+            n = len(m["n_words"])
+            stats = [pa.array(m[c].astype(np.int64)) for c in STATS]
+            yield pa.record_batch([batch.column("id").slice(a, n), *stats, pa.array(base_failed(m)), pa.array(votes(m))], names=["id", *STATS, "base_failed", "code"])
+            a += n
+
+
 def judge(docs: DataFrame, keep_from: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, the counts of ``STATS``, ``base_failed``, ``kept`` and ``p_good`` for every row."""
-    good = posterior(docs, text_col)
-
-    def run(batches):
-        for batch in batches:
-            a = 0
-            for m in _runs(batch.column("text")):
-                n, p = len(m["n_words"]), good[votes(m)]
-                failed = base_failed(m)
-                stats = [pa.array(m[c].astype(np.int64)) for c in STATS]
-                yield pa.record_batch([batch.column("id").slice(a, n), *stats, pa.array(failed), pa.array(~failed & (p >= keep_from)), pa.array(p)], names=["id", *STATS, "base_failed", "kept", "p_good"])
-                a += n
-
-    source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    kind = dict(source.dtypes)["id"]
-    out = source.mapInArrow(run, f"id {kind}, {', '.join(f'{c} long' for c in STATS)}, base_failed boolean, kept boolean, p_good double")
-    return out.withColumnRenamed("id", id_col)
+    spark = docs.sparkSession
+    with Workspace(spark, "quality") as ws:
+        source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+        schema = f"id {dict(source.dtypes)['id']}, {', '.join(f'{c} long' for c in STATS)}, base_failed boolean, code long"
+        rows = ws.table(source.mapInArrow(_measured, schema), "measured")
+        seen = {r["code"]: r["docs"] for r in rows.groupBy("code").agg(F.count("*").alias("docs")).collect()}
+        good = fit(seen)
+        known = spark.createDataFrame([(k, float(good[k])) for k in seen], "code long, p_good double")  # 3^R rows at most
+        out = rows.join(F.broadcast(known), "code", "left")
+        kept = ~F.col("base_failed") & (F.col("p_good") >= keep_from)
+        return ws.finish(out.select(F.col("id").alias(id_col), *STATS, "base_failed", kept.alias("kept"), "p_good"))
 
 
 def filter_docs(docs: DataFrame, keep_from: float = 0.5, text_col: str = "text") -> DataFrame:

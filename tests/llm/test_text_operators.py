@@ -187,6 +187,30 @@ def test_quality_posterior_tells_junk(spark):
     assert {r["doc_id"] for r in quality_rules.filter_docs(docs(spark, good + junk)).collect()} == kept
 
 
+def test_em_against_a_plain_one():
+    """Expectation-maximisation document by document, without patterns."""
+    rng = random.Random(12)
+    r = len(quality_rules.RULES)
+    rows = []
+    for _ in range(1500):  # bad documents, a tenth, fail two rules each; the last rule votes at random
+        bad = rng.random() < 0.1
+        which = rng.sample(range(r - 1), 2)
+        rows.append([rng.randint(0, 2) if i == r - 1 else 1 if bad and i in which else 1 if rng.random() < 0.01 else 2 if rng.random() < 0.95 else 0 for i in range(r)])
+    good = [0.9 / 3.0 ** v.count(1) for v in rows]
+    for _ in range(200):
+        prior = [(sum(1 - g for g in good) + 1) / (len(rows) + 2), (sum(good) + 1) / (len(rows) + 2)]
+        rate = [[[quality_rules.BELIEF * quality_rules.EXPECTED[c][v] + sum((g if c else 1 - g) for g, x in zip(good, rows, strict=True) if x[i] == v) for v in range(3)] for i in range(r)] for c in range(2)]
+        rate = [[[x / sum(of) for x in of] for of in each] for each in rate]
+        odds = [math.log(prior[0] / prior[1]) + sum(math.log(rate[0][i][v] / rate[1][i][v]) for i, v in enumerate(x)) for x in rows]
+        new = [1 / (1 + math.exp(min(max(o, -500), 500))) for o in odds]
+        done, good = max(abs(a - b) for a, b in zip(new, good, strict=True)) < 1e-9, new
+        if done:
+            break
+    codes = [sum(v * 3 ** (r - 1 - i) for i, v in enumerate(x)) for x in rows]
+    fitted = quality_rules.fit(dict(Counter(codes)))
+    assert all(abs(fitted[c] - g) < 1e-6 for c, g in zip(codes, good, strict=True))
+
+
 def removed_by_force(rows, length):
     seen = Counter()
     raws = [(i, (t or "").encode()) for i, t, _ in rows]
