@@ -54,6 +54,8 @@ from . import _bytes as B
 from ._workspace import Workspace
 
 GRAM = 48
+#: Bytes of texts whose windows are looked at at once; a longer text is looked at by itself.
+RUN = 1 << 19
 #: Bytes of contexts that one suffix array covers, and contexts of one key that go to one shard.
 SHARD, MOST_CONTEXTS = 1 << 20, 8_192
 #: Bytes of contexts of one task, where the cluster's cores have several tasks each anyway.
@@ -146,7 +148,7 @@ def _anchors(length: int):
         seen: set = set()
         for batch in batches:
             data, offsets = B.buffers(batch.column("text"))
-            for a, b in B.slices(offsets):
+            for a, b in B.slices(offsets, RUN):
                 ids, keep = [], []
                 for i in range(a, b):
                     if offsets[i + 1] - offsets[i] < length:
@@ -187,7 +189,7 @@ def _anchors_within(length: int):
                     if b - a < length:
                         continue
                     raw = np.frombuffer(zlib.decompress(packed), np.uint8) if raw is None else raw
-                    if held and held + b - a > B.SLICE:
+                    if held and held + b - a > RUN:
                         yield _items(pieces, ids, bases, length)
                         pieces, ids, bases, held = [], [], [], 0
                     pieces.append(raw[a:b].copy())
