@@ -8,6 +8,7 @@ Levenshtein distance and set overlap are built in and need no UDF.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
@@ -16,19 +17,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
-def lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence."""
-    if not a or not b:
-        return 0
+def _places(a: str) -> dict[str, int]:
+    """For each letter, the set of its places as bits."""
     at: dict[str, int] = {}
     for i, ch in enumerate(a):
         at[ch] = at.get(ch, 0) | 1 << i
-    full = (1 << len(a)) - 1
+    return at
+
+
+def _lcs(at: dict[str, int], n: int, b: str) -> int:
+    full = (1 << n) - 1
     row = full
     for ch in b:
-        hit = row & at.get(ch, 0)
-        row = (row + hit | row - hit) & full
-    return len(a) - row.bit_count()
+        if ch in at:
+            hit = row & at[ch]
+            row = (row + hit | row - hit) & full
+    return n - row.bit_count()
+
+
+def lcs(a: str, b: str) -> int:
+    """Length of the longest common subsequence."""
+    return _lcs(_places(a), len(a), b) if a and b else 0
 
 
 def ratio(a: str, b: str) -> float:
@@ -66,7 +75,11 @@ def token_set_ratio(a: str, b: str) -> float:
 
 
 def partial_ratio(a: str, b: str) -> float:
-    """Best ratio of the shorter string with any stretch of the longer one, cut ends included."""
+    """Best ratio of the shorter string with any stretch of the longer one, cut ends included.
+
+    The letters that needle and stretch have in common, however ordered, are kept count of as the stretch
+    moves on; they bound its ratio, and only a stretch that could be better than all before is compared.
+    """
     if not a and not b:
         return 100.0
     if not a or not b:
@@ -75,15 +88,23 @@ def partial_ratio(a: str, b: str) -> float:
         a, b = b, a
     n, best = len(a), 0.0
     for needle, hay in ((a, b), (b, a)) if len(a) == len(b) else ((a, b),):
-        known = set(needle)
+        at, lacks, common = _places(needle), Counter(needle), 0
         for end in range(1, len(hay) + n):
             start = max(0, end - n)
-            piece = hay[start : min(end, len(hay))]
+            if end <= len(hay):  # one letter comes in
+                ch = hay[end - 1]
+                common += lacks[ch] > 0
+                lacks[ch] -= 1
+            if end > n:  # and one goes out
+                ch = hay[start - 1]
+                lacks[ch] += 1
+                common -= lacks[ch] > 0
+            size = min(end, len(hay)) - start
             # a stretch that ends in a letter the needle lacks is no better than its neighbour
-            if (end <= len(hay) and piece[-1] not in known) or (end > len(hay) and piece[0] not in known):
+            if (end <= len(hay) and hay[end - 1] not in at) or (end > len(hay) and hay[start] not in at):
                 continue
-            if 200.0 * min(n, len(piece)) / (n + len(piece)) > best:
-                best = max(best, ratio(needle, piece))
+            if 200.0 * common / (n + size) > best:
+                best = max(best, 200.0 * _lcs(at, n, hay[start : start + size]) / (n + size))
             if best == 100.0:
                 return best
     return best

@@ -125,7 +125,14 @@ def strip(c: Column) -> Column:
 
 def variants_of(latin: Column) -> Column:
     """Alternative names in a latinised name; web addresses lose www., suffix and .co."""
-    parts = F.filter(F.transform(F.split(latin, "(?U)" + vocab.ALIAS), strip), lambda p: p != "")
+    return _named(_aliases(latin), latin)
+
+
+def _aliases(latin: Column) -> Column:
+    return F.filter(F.transform(F.split(latin, "(?U)" + vocab.ALIAS), strip), lambda p: p != "")
+
+
+def _named(parts: Column, latin: Column) -> Column:
     bare = lambda p: F.replace(F.regexp_replace(F.regexp_replace(p, r"^www\.", ""), r"\.[^.]*$", ""), F.lit(".co"), F.lit(""))
     parts = F.transform(parts, lambda p: F.when(p.rlike(vocab.WEB), bare(p)).otherwise(p))
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(latin))
@@ -215,8 +222,14 @@ def prepare(records, translit: Column | DataFrame | None = None, component: Colu
     latin = records.select("entity_id", to_latin(clean_nulls(F.col("business_name")), translit).alias("_n"), to_latin(clean_nulls(F.col("business_address")), translit).alias("_a"), country(F.col("country")).alias("ctry"))
     if isinstance(component, DataFrame):
         latin, component = with_known(latin, "entity_id", _parts(F.col("_a")), component, "_component"), F.col("_component")
-    named = latin.withColumn("_name", normal_name(variants_of(F.col("_n")))).withColumn("_comps", components_of(F.col("_a"), F.col("ctry"), component))
+    # each step is a projection of its own: Spark doesn't merge one into the next that uses it several times, so
+    # no step is evaluated twice
+    named = latin.withColumns({"_aliases": _aliases(F.col("_n")), "_comps": components_of(F.col("_a"), F.col("ctry"), component)})
+    named = named.withColumn("_variants", _named(F.col("_aliases"), F.col("_n")))
+    named = named.withColumn("_full", F.transform("_variants", name_tokens))
+    named = named.withColumn("_kept", F.transform("_full", lambda t: F.filter(t, lambda x: ~_among(x, vocab.LEGAL_WORDS))))
+    named = named.withColumn("_cores", F.zip_with("_kept", "_full", lambda kept, full: F.array_join(F.when(F.size(kept) > 0, kept).otherwise(full), " ")))
     return named.select(
-        "entity_id", F.col("_name.full").alias("name_full"), F.col("_name.core").alias("name_core"),
-        F.array_join(F.array_distinct("_name.cores"), "|").alias("name_vars"),
+        "entity_id", F.array_join(F.element_at("_full", -1), " ").alias("name_full"), F.element_at("_cores", -1).alias("name_core"),
+        F.array_join(F.array_distinct("_cores"), "|").alias("name_vars"),
         F.array_join(address_tokens(F.col("_comps")), " ").alias("addr_n"), F.array_join("_comps", "|").alias("comps"), "ctry")

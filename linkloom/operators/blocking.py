@@ -16,6 +16,10 @@ from linkloom.functions import vocab
 from linkloom.functions.text import numbers, skeleton
 
 MAX_DF, TOP = 500, 40
+#: As many stop keys are broadcast at most; more are joined by shuffle.
+MOST_BROADCAST = 100_000
+#: Weights are summed as whole numbers of so many parts, so that the order of rows doesn't show.
+PARTS = 10**12
 
 
 def words(c: Column) -> Column:
@@ -111,22 +115,36 @@ def weights(right_keys: DataFrame, shard: DataFrame, max_df: int = MAX_DF) -> Da
     return df.join(shard, "ctry").select("ctry", "key", "df", F.log1p(F.col("n_right") / F.col("df")).alias("idf"))
 
 
+def stop_keys(right_keys: DataFrame, max_df: int = MAX_DF) -> DataFrame:
+    """(ctry, key) of the keys that are too common; counts are combined before their shuffle."""
+    return right_keys.groupBy("ctry", "key").agg(F.count("*").alias("df")).where(F.col("df") > max_df).select("ctry", "key")
+
+
+def without(keyed: DataFrame, stops: DataFrame) -> DataFrame:
+    """Postings without those of ``stops``, which so never meet in one task; of more than ``MOST_BROADCAST`` stop
+    keys, a shuffled join does it."""
+    small = stops.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    return keyed.join(F.broadcast(stops) if small else stops, ["ctry", "key"], "left_anti")
+
+
 def index(right_keys: DataFrame, shard: DataFrame, max_df: int = MAX_DF) -> DataFrame:
-    """(ctry, key, j, idf): postings of the keys that are not too common.
+    """(ctry, key, j, idf, units): postings of the keys that are not too common, with a key's weight in ``PARTS``.
 
-    One shuffle on (ctry, key): a list of at most ``max_df`` + 1 records is gathered, longer ones go.
+    One shuffle on (ctry, key), of lists of at most ``max_df`` records: longer ones go before it.
     """
-    return right_keys.join(weights(right_keys, shard, max_df), ["ctry", "key"]).select("ctry", "key", F.col("entity_id").alias("j"), "idf")
+    weighted = weights(right_keys, shard, max_df).withColumn("units", (F.col("idf").cast("decimal(18,12)") * F.lit(PARTS)).cast("long"))
+    lists = without(right_keys, stop_keys(right_keys, max_df))
+    return lists.join(weighted, ["ctry", "key"]).select("ctry", "key", F.col("entity_id").alias("j"), "idf", "units")
 
 
 def meet(left_keys: DataFrame, postings: DataFrame) -> DataFrame:
-    """(i, j, key, idf): an inner equi-join; left keys without postings fall out."""
-    return left_keys.join(postings, ["ctry", "key"]).select(F.col("entity_id").alias("i"), "j", "key", "idf")
+    """(i, j, key, idf, units): an inner equi-join; left keys without postings fall out."""
+    return left_keys.join(postings, ["ctry", "key"]).select(F.col("entity_id").alias("i"), "j", "key", "idf", "units")
 
 
 def score(met: DataFrame) -> DataFrame:
-    """Pairs' summed weights.  Weights are summed as decimals, so that the order of rows doesn't show."""
-    return met.groupBy("i", "j").agg(F.round(F.sum(F.col("idf").cast("decimal(20,12)")).cast("double"), 6).alias("kscore"))
+    """Pairs' summed weights."""
+    return met.groupBy("i", "j").agg(F.round(F.sum("units") / F.lit(float(PARTS)), 6).alias("kscore"))
 
 
 def top(scored: DataFrame, k: int = TOP) -> DataFrame:

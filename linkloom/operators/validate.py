@@ -87,11 +87,22 @@ def report(matches: DataFrame, candidates: DataFrame | None, required: DataFrame
     return out.where("n > 0")
 
 
+def there(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def warned(spark: SparkSession, check: str, example: str) -> DataFrame:
+    return spark.createDataFrame([("warning", check, 1, [example])], "severity string, check string, n long, examples array<string>")
+
+
 def file_findings(spark: SparkSession, path: str, columns: tuple[str, str]) -> DataFrame:
     """What is wrong with a file as text: header, tabs; fatal findings make the rest meaningless."""
+    schema = "severity string, check string, n long, examples array<string>"
+    if not there(spark, path):
+        return spark.createDataFrame([("fatal", "no such file", 1, [path])], schema)
     lines = spark.read.text(path)
     head = lines.limit(1).collect()
-    schema = "severity string, check string, n long, examples array<string>"
     fatal = None
     if not head:
         fatal = "empty file"
@@ -101,7 +112,7 @@ def file_findings(spark: SparkSession, path: str, columns: tuple[str, str]) -> D
             fatal = "commas instead of tabs" if "," in header else "no tab in the header"
         elif tuple(x.strip().lower() for x in header.split("\t")) != columns:
             fatal = f"header is not {' and '.join(columns)}"
-        elif "�" in header or re.search(r"[\x00-\x08]", header):
+        elif lines.where(F.contains("value", F.lit("�")) | F.col("value").rlike(r"[\x00-\x08]")).limit(1).count():
             fatal = "not UTF-8"
     if fatal:
         return spark.createDataFrame([("fatal", fatal, 1, [])], schema)
