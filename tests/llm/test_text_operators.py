@@ -367,6 +367,23 @@ def test_token_trees():
             assert (tree.text, tree.n_pretokens, tree.n_tokens) == (s, *whole(s))
 
 
+def test_token_counts_against_a_whole_encoder():
+    """The public library splits and encodes whole texts by itself."""
+    import tiktoken
+
+    with open(token_counts.VOCABULARY, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines)}
+    encoder = tiktoken.Encoding("plain", pat_str=token_counts.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    count, rng = token_counts.counter(token_counts.VOCABULARY), random.Random(2)
+    for _, text, _ in corpus(5, 30):
+        tree = token_counts.TokenTree(text or "", count)
+        assert tree.n_tokens == len(encoder.encode_ordinary(tree.text))
+        for _ in range(3):
+            at = rng.randint(0, len(tree.text))
+            tree.edit(at, at + rng.randint(0, 9), rng.choice(["", " é1", "isn't it?", "\n\n  "]))
+            assert tree.n_tokens == len(encoder.encode_ordinary(tree.text))
+
+
 def test_token_counts_query(spark):
     rows = corpus()
     count = token_counts.counter(token_counts.VOCABULARY)
@@ -597,3 +614,43 @@ def test_pipeline_stages(spark, tmp_path):
         assert set(corpus_pipeline.COLUMNS) <= set(table.columns) and table.count() <= last, name
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(r["doc_id"] for r in whole.collect()) == sorted(r["doc_id"] for r in table.collect())
+
+
+def test_pipeline_against_force(spark, tmp_path):
+    """Each stage's rows, from plain Python on the stage's own input."""
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    passage, item = prose(rng, 60, 4000), prose(rng, 50, 4000)
+    rows = [(k, prose(rng, rng.randint(90, 160), 4000), "ab"[k % 2]) for k in range(24)]
+    for k in range(24, 30):  # a passage in different surroundings
+        rows.append((k, prose(rng, 90, 4000) + " " + passage + " " + prose(rng, 70, 4000), "c"))
+    for k in range(30, 34):  # near copies: one word differs
+        words = rows[k - 30][1].split()
+        words[40] = "otherwise"
+        rows.append((k, " ".join(words), "a"))
+    rows += [(34, prose(rng, 80, 4000) + "\n" + item.upper() + "\n" + prose(rng, 80, 4000), "b"), (35, "buy now! " * 60, "b"), (36, "too short", "a"), (37, None, "a"), (38, "", None)]
+    docs(spark, rows).select(*corpus_pipeline.COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found, table = {}, spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, table, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        table = spark.read.parquet(f"{tmp_path}/{k}")
+        found[name] = [(r["doc_id"], r["text"], r["source"]) for r in table.collect()]
+    quality, near, repeats, leaks, mixed = found.values()
+    assert {r[0] for r in quality} == set(range(35))
+    assert sorted(r[0] for r in near) == sorted(i for i, _, least in components_by_force(quality, 5, 4, 5) if i == least)
+    assert {30, 31, 32, 33}.isdisjoint(r[0] for r in near)
+    left = {i: digest for i, size, gone, _, digest in removed_by_force(near, 200) if gone < size}
+    assert {i: hashlib.sha256(t.encode()).hexdigest() for i, t, _ in repeats} == left
+    assert all(passage not in t for _, t, _ in repeats) and sum(passage in t for _, t, _ in near) == 6
+    assert sorted(leaks) == sorted(r for r in repeats if item.lower() not in r[1].lower()) and 34 not in {r[0] for r in leaks}
+    before, sums = {i: (len(WORD.findall(t)), source) for i, t, source in leaks}, Counter()
+    for r in table.collect():
+        size, source = before[r["doc_id"]]
+        assert r["size"] == size and r["taken"] == len(WORD.findall(r["text"])) <= 2 * size and r["n_chars"] == len(r["text"])
+        assert set(WORD.findall(r["text"])) <= set(WORD.findall(dict((i, t) for i, t, _ in leaks)[r["doc_id"]]))
+        sums[source, r["target"]] += r["taken"]
+    assert all(abs(n - target) <= 64 for (_, target), n in sums.items())
+    whole = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted((r["doc_id"], r["text"], r["source"]) for r in whole.collect()) == sorted(mixed)
