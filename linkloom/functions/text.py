@@ -61,16 +61,22 @@ def is_latin(c: Column) -> Column:
 
 @lru_cache(maxsize=1 << 16)
 def romanised(token: str) -> str:
-    """Latin letters for a token of another script, from its characters' Unicode names.
+    """Latin letters for a token of another script.
 
-    ``DEVANAGARI LETTER KA`` gives ``ka``, a vowel sign replaces the inherent ``a`` and
-    a character without such a name is dropped.
+    Greek, Cyrillic, Arabic and Hebrew letters by ``vocab.LETTERS``, others by their Unicode
+    names: ``DEVANAGARI LETTER KA`` gives ``ka``, a vowel sign replaces the inherent ``a``,
+    ``HANGUL SYLLABLE GAG`` gives ``gag``. Other letters, ideographs above all, become words of
+    their own, their code points written in the letters a to p, so that such names meet their
+    equals; what is no letter, sign or digit is dropped.
     """
     out = ""
-    for ch in token:
+    for ch in unicodedata.normalize("NFC", token):  # folding takes syllables and two-part vowels apart
         if ord(ch) <= 0x24F:
             out += ch
             continue
+        if ch in vocab.LETTERS:
+            out += vocab.LETTERS[ch]
+            continue
         name = unicodedata.name(ch, "")
         head, _, last = name.rpartition(" ")
         if "VOWEL SIGN" in name:
@@ -81,7 +87,9 @@ def romanised(token: str) -> str:
             out += str(unicodedata.digit(ch, ""))
         elif "VIRAMA" in name:
             out = out.removesuffix("a")
-    return out
+        elif ch.isalpha():
+            out += f" {''.join(chr(97 + int(x, 16)) for x in f'{ord(ch):x}')} "
+    return " ".join(out.split())
 
 
 @F.pandas_udf(StringType())

@@ -76,3 +76,26 @@ CONSONANTS = ("ckqgjzsxvfpbdtnmlr", "kkkkjssksfpptdnmlr")
 MISSING = r"<null>|\bnull\b|\bn/a\b|\bnone\b|\bnan\b"
 ALIAS = r"\s+(?:dba|d/b/a|aka|t/a|trading as)\s+|\|"
 WEB = r"^(www\.)?[a-z0-9\-]+\.(com|net|org|in|co\.in|fr|us|biz|info)$"
+
+# Latin letters for letters of other scripts, accents taken off (marks that have none give nothing).
+GREEK = {
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m",
+    "ν": "n", "ξ": "x", "ο": "o", "π": "p", "ρ": "r", "ς": "s", "σ": "s", "τ": "t", "υ": "u", "φ": "ph", "χ": "kh", "ψ": "ps", "ω": "o",
+}
+CYRILLIC = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ж": "zh", "з": "z", "и": "i", "к": "k", "л": "l", "м": "m",
+    "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh",
+    "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "iu", "я": "ia", "є": "ie", "і": "i", "ґ": "g", "ђ": "dj", "ј": "j",
+    "љ": "lj", "њ": "nj", "ћ": "tsh", "џ": "dzh",
+}
+ARABIC = {
+    "ء": "", "ا": "a", "ب": "b", "ة": "a", "ت": "t", "ث": "th", "ج": "j", "ح": "h", "خ": "kh", "د": "d", "ذ": "dh", "ر": "r",
+    "ز": "z", "س": "s", "ش": "sh", "ص": "s", "ض": "d", "ط": "t", "ظ": "z", "ع": "", "غ": "g", "ف": "f", "ق": "q", "ك": "k",
+    "ل": "l", "م": "m", "ن": "n", "ه": "h", "و": "w", "ى": "a", "ي": "y", "پ": "p", "چ": "ch", "ژ": "zh", "ک": "k", "گ": "g", "ی": "y",
+}
+HEBREW = {
+    "א": "a", "ב": "b", "ג": "g", "ד": "d", "ה": "h", "ו": "v", "ז": "z", "ח": "kh", "ט": "t", "י": "y", "ך": "k", "כ": "k",
+    "ל": "l", "ם": "m", "מ": "m", "ן": "n", "נ": "n", "ס": "s", "ע": "", "ף": "p", "פ": "p", "ץ": "ts", "צ": "ts", "ק": "q",
+    "ר": "r", "ש": "sh", "ת": "t",
+}
+LETTERS = GREEK | CYRILLIC | ARABIC | HEBREW

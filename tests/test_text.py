@@ -37,6 +37,10 @@ def test_to_latin(spark):
     known = F.create_map(F.lit("राज"), F.lit("raj"))
     assert one(spark, lambda A, Bc: T.to_latin(A, known), "राज Foods") == "raj foods"
     assert one(spark, lambda A, Bc: T.to_latin(A), "ராஜ Foods").isascii()
+    for native, latin in (("Αθήνα", "athena"), ("Москва", "moskva"), ("Йошкар-Ола", "ioshkar-ola"), ("بيت", "byt"), ("שלום", "shlvm"), ("각도 SA", "gagdo sa"), ("राज", "raaja"), ("কো", "ko"), ("カ", "ka")):
+        assert one(spark, lambda A, Bc: T.to_latin(A), native) == latin
+    tokyo, kyoto = (one(spark, lambda A, Bc: T.to_latin(A), x) for x in ("東京", "京都"))
+    assert len(tokyo.split()) == 2 and tokyo.isascii() and tokyo.split()[1] == kyoto.split()[0]
     assert one(spark, lambda A, Bc: T.to_latin(A, known), "  Plain É ") == "  plain e "
 
 
