@@ -2,9 +2,10 @@
 
 Each family of keys is one array expression over a prepared record; records meet
 by an equi-join on (country, key).  Keys of more than ``max_df`` right records are
-no keys, so a left record meets at most that many per key.  The score of a pair,
-the sum of its keys' weights, is combined before its shuffle, and the best ``k``
-are cut by a window whose limit Spark applies before the exchange, too.
+no keys, so a left record meets at most that many per key.  ``meet``, ``score`` and
+``top`` are the steps one by one; ``block`` joins whole lists instead of single
+postings and deals them out by left record once, so that pairs are listed, summed
+and ranked within a task and never shuffled.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ MAX_DF, TOP = 500, 40
 MOST_BROADCAST = 100_000
 #: Weights are summed as whole numbers of so many parts, so that the order of rows doesn't show.
 PARTS = 10**12
+#: Left records to a task that lists and sums pairs: each has at most ``max_df`` pairs a key.
+LEFT_RECORDS = 2_500
+MOST_TASKS = 20_000
 
 
 def words(c: Column) -> Column:
@@ -120,11 +124,19 @@ def stop_keys(right_keys: DataFrame, max_df: int = MAX_DF) -> DataFrame:
     return right_keys.groupBy("ctry", "key").agg(F.count("*").alias("df")).where(F.col("df") > max_df).select("ctry", "key")
 
 
+def sized(stops: DataFrame) -> DataFrame:
+    """The same keys, to be broadcast if there are at most ``MOST_BROADCAST`` of them, which are then found only once."""
+    rows = stops.limit(MOST_BROADCAST + 1).collect()
+    return F.broadcast(stops.sparkSession.createDataFrame(rows, stops.schema)) if len(rows) <= MOST_BROADCAST else stops
+
+
 def without(keyed: DataFrame, stops: DataFrame) -> DataFrame:
-    """Postings without those of ``stops``, which so never meet in one task; of more than ``MOST_BROADCAST`` stop
-    keys, a shuffled join does it."""
-    small = stops.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    return keyed.join(F.broadcast(stops) if small else stops, ["ctry", "key"], "left_anti")
+    """Postings without those of ``stops``, which so never meet in one task."""
+    return keyed.join(stops, ["ctry", "key"], "left_anti")
+
+
+def _units(idf: Column) -> Column:
+    return (idf.cast("decimal(18,12)") * F.lit(PARTS)).cast("long")
 
 
 def index(right_keys: DataFrame, shard: DataFrame, max_df: int = MAX_DF) -> DataFrame:
@@ -132,11 +144,17 @@ def index(right_keys: DataFrame, shard: DataFrame, max_df: int = MAX_DF) -> Data
 
     One shuffle on (ctry, key), of lists of at most ``max_df`` records: longer ones go before it.
     """
-    weighted = weights(right_keys, shard, max_df).withColumn("units", (F.col("idf").cast("decimal(18,12)") * F.lit(PARTS)).cast("long"))
-    lists = without(right_keys, stop_keys(right_keys, max_df))
+    weighted = weights(right_keys, shard, max_df).withColumn("units", _units(F.col("idf")))
+    lists = without(right_keys, sized(stop_keys(right_keys, max_df)))
     return lists.join(weighted, ["ctry", "key"]).select("ctry", "key", F.col("entity_id").alias("j"), "idf", "units")
 
 
+def lists(right_keys: DataFrame, shard: DataFrame) -> DataFrame:
+    """(ctry, key, js, units): the same index with a row a key; ``right_keys`` have no stop keys, which bounds a list."""
+    listed = right_keys.groupBy("ctry", "key").agg(F.collect_list("entity_id").alias("js"))
+    return listed.join(shard, "ctry").select("ctry", "key", "js", _units(F.log1p(F.col("n_right") / F.size("js"))).alias("units"))
+
+
 def meet(left_keys: DataFrame, postings: DataFrame) -> DataFrame:
     """(i, j, key, idf, units): an inner equi-join; left keys without postings fall out."""
     return left_keys.join(postings, ["ctry", "key"]).select(F.col("entity_id").alias("i"), "j", "key", "idf", "units")
@@ -153,8 +171,18 @@ def top(scored: DataFrame, k: int = TOP) -> DataFrame:
 
 
 def block(left: DataFrame, right: DataFrame, max_df: int = MAX_DF, k: int = TOP) -> DataFrame:
-    """(i, j, kscore, rank): each left record's best candidates."""
-    return top(score(meet(keys(left), index(keys(right), shards(left, right), max_df))), k)
+    """(i, j, kscore, rank): each left record's best candidates.
+
+    Lists meet left keys by one shuffle on (ctry, key), and left records by one on i, whose number of tasks follows
+    the left records: bytes would tell little of the pairs in a list.
+    """
+    right_keys = keys(right)
+    stops = sized(stop_keys(right_keys, max_df))
+    met = without(keys(left), stops).join(lists(without(right_keys, stops), shards(left, right)), ["ctry", "key"])
+    least = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(least, min(left.count() // LEFT_RECORDS + 1, MOST_TASKS))
+    dealt = met.select(F.col("entity_id").alias("i"), "units", "js").repartition(tasks, "i")
+    return top(score(dealt.select("i", "units", F.explode("js").alias("j"))), k)
 
 
 def neighbours(right: DataFrame, k: int = 6, max_df: int = MAX_DF) -> DataFrame:

@@ -58,7 +58,7 @@ class Base:
         return blocking.meet(l, blocking.index(r, self.shard()))
 
     def best(self) -> DataFrame:
-        return blocking.top(blocking.score(self.met()))
+        return blocking.block(self.left, self.right)
 
     def pairs(self) -> DataFrame:
         """Best pairs with both records and the names that the SQL features compare."""
