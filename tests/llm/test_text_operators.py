@@ -384,6 +384,52 @@ def test_token_counts_against_a_whole_encoder():
             assert tree.n_tokens == len(encoder.encode_ordinary(tree.text))
 
 
+def test_kept_token_trees(spark, tmp_path):
+    count, rng = token_counts.counter(token_counts.VOCABULARY), random.Random(5)
+    words = ["the", "isn't", "  ", "x1", "\n", "é", "東京", "...", "longer words"]
+    rows = [(i, None if i == 3 else " ".join(rng.choices(words, k=rng.choice([0, 1, 40, 900])))) for i in range(30)] + [(7, "a copy of an id"), (None, "no id at all")]
+    path = str(tmp_path / "trees")
+    token_counts.plant(spark.createDataFrame(rows, "doc_id long, text string")).write.parquet(path)
+    kept = spark.read.parquet(path)
+    edits = []
+    for i, _ in rows:
+        for seq in range(rng.choice([0, 1, 6])):
+            a = rng.randrange(0, 3000)
+            edits.append((i, seq, a, a + rng.choice([0, 3, 400]), rng.choice([None, "", " new words here", "y" * 50, "\n " * 200])))
+    edits += [(99, 0, 0, 1, "of no tree"), (1, 9, None, 4, "no start")]
+    table = spark.createDataFrame(edits, "doc_id long, seq int, start long, end long, new string")
+    expected = []
+    for i, text in rows:
+        text = text or ""
+        for _, a, b, new in sorted(((s, a, b, new or "") for d, s, a, b, new in edits if d == i and a is not None), key=lambda e: e[:4]):
+            a = min(a, len(text))
+            text = text[:a] + new + text[max(min(b, len(text)), a) :]
+        tree = token_counts.TokenTree(text, count)
+        expected.append((i, text, tree.n_pretokens, tree.n_tokens))
+    changed = token_counts.edit_trees(kept, table).persist()
+    got = [(r["doc_id"], r["text"], sum(r["leaf_pretokens"]), sum(r["leaf_tokens"])) for r in changed.collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, expected))
+    assert sorted(((r[0], r[1], r[2]) for r in token_counts.counts(changed).collect()), key=repr) == sorted(((i, p, t) for i, _, p, t in expected), key=repr)
+    assert token_counts.edit_trees(kept, table.limit(0)).where("n_reencoded > 0").count() == 0
+    assert token_counts.edit_trees(kept.limit(0), table).count() == 0
+
+
+def test_edits_change_paths_only():
+    """Many edits of a long text keep the tree's shape, and encode little."""
+    count, rng = token_counts.counter(token_counts.VOCABULARY), random.Random(6)
+    tree = token_counts.TokenTree("some words of a long text, " * 4000, count)
+    shape = [x.shape for x in tree.levels]
+    for _ in range(200):
+        a = rng.randrange(len(tree.text))
+        tree.edit(a, a + rng.randrange(12), rng.choice(["", "in", " two words"]))
+    assert [x.shape for x in tree.levels] == shape
+    assert tree.reencoded < 200 * 6 * token_counts.LEAF
+    whole = token_counts.TokenTree(tree.text, count)
+    assert (tree.n_pretokens, tree.n_tokens) == (whole.n_pretokens, whole.n_tokens)
+    for below, above in zip(tree.levels, tree.levels[1:]):
+        assert (token_counts.TokenTree._above(below) == above).all()
+
+
 def test_token_counts_query(spark):
     rows = corpus()
     count = token_counts.counter(token_counts.VOCABULARY)
