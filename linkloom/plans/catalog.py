@@ -33,13 +33,22 @@ def query(sql: str | None = None, *needs: str):
 
 
 class Base:
-    """The tables that queries start from, each a lazy plan."""
+    """The tables that queries start from, each a lazy plan.
+
+    Prepared records are kept for the queries over the same tables, which find them by their plan; those of other
+    tables go, so that a session holds one such table.
+    """
+
+    _held: tuple[SparkSession, str, DataFrame] | None = None
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        if Base._held is not None and Base._held[0] is spark and Base._held[1] != sf_dir:
+            Base._held[2].unpersist()
         self.spark = spark
         self.biz = records(spark, sf_dir)
         self.raw = self.biz.select("entity_id", "business_name", "business_address", "country")
         self.prep = T.prepare(self.raw).persist()  # keys, shards and features of both sides all start here
+        Base._held = spark, sf_dir, self.prep
         self.left = self.prep.where("entity_id like 'S1-%'")
         self.right = self.prep.where("entity_id not like 'S1-%'")
         self.truth = truth(self.biz)
