@@ -22,9 +22,15 @@ def slot(*keys) -> Column:
     return F.xxhash64(*keys).bitwiseAND(F.lit((1 << BITS) - 1))
 
 
-def build(df: DataFrame, *keys: str):
-    """A broadcast map of the keys of ``df``."""
-    words = df.select(slot(*keys).alias("s")).selectExpr("cast(shiftright(s, 5) as int) word", "shiftleft(1L, cast(s & 31 as int)) bit")
+def low_bits(key):
+    """The slot of a key that is a hash itself; a Column or an array."""
+    mask = (1 << BITS) - 1
+    return key.bitwiseAND(F.lit(mask)) if isinstance(key, Column) else key & mask
+
+
+def build(df: DataFrame, *keys: str, slots: Column | None = None):
+    """A broadcast map of the keys of ``df``, or of ``slots`` of its rows."""
+    words = df.select((slot(*keys) if slots is None else slots).alias("s")).selectExpr("cast(shiftright(s, 5) as int) word", "shiftleft(1L, cast(s & 31 as int)) bit")
     got = words.groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).toArrow()
     bits = np.zeros(1 << (BITS - 5), np.int64)
     bits[got.column("word").to_numpy()] = got.column("bits").to_numpy()

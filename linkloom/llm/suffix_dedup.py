@@ -481,20 +481,29 @@ def _packed(batches):
         yield pa.record_batch([pa.array([x[0] for x in ids], pa.int64()), pa.array([x[1] for x in ids], pa.int64()), pa.array([zlib.compress(x, 1) for x in texts], pa.binary())], names=["t1", "t2", "packed"])
 
 
-def _identified(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` with the ids t1 and t2 of their texts."""
+def _identified(docs: DataFrame, text_col: str, shared=None, want: bool = True) -> DataFrame:
+    """``docs`` with the ids t1 and t2 of their texts; with a map of ids, only rows whose bit is set, or isn't.
+
+    Both in one step: each Python step of a stage has a worker of its own for every core of an executor.
+    """
 
     def run(batches):
         for batch in batches:
-            ids = [text_id(x or b"") for x in batch.column(text_col).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in ids], pa.int64()), pa.array([x[1] for x in ids], pa.int64())], names=[*batch.schema.names, "t1", "t2"])
+            ids = np.array([text_id(x or b"") for x in batch.column(text_col).cast(pa.binary()).to_pylist()], np.int64).reshape(-1, 2)
+            out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids[:, 0]), pa.array(ids[:, 1])], names=[*batch.schema.names, "t1", "t2"])
+            yield out if shared is None else out.filter(pa.array(_bitmap.hit(shared, _bitmap.low_bits(ids[:, 0])) == want))
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("t1", T.LongType()), T.StructField("t2", T.LongType())]))
 
 
+def _id_map(ids: DataFrame):
+    """A broadcast map of texts' ids, which are hashes."""
+    return _bitmap.build(ids, slots=_bitmap.low_bits(F.col("t1")))
+
+
 def _packed_texts(texts: DataFrame, wanted: DataFrame, ws: Workspace) -> DataFrame:
     """(t1, t2, packed) of the distinct texts that ``wanted`` names."""
-    chosen = _bitmap.only(_identified(texts, "text"), _bitmap.build(wanted, "t1", "t2"), ["t1", "t2"], True)
+    chosen = _identified(texts, "text", _id_map(wanted))
     chosen = chosen.join(wanted, ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"]).select("text")
     return ws.table(chosen.mapInArrow(_packed, "t1 long, t2 long, packed binary"), "texts")
 
@@ -581,12 +590,11 @@ def strip_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", si
     with Workspace(docs.sparkSession, "strip") as ws:
         texts = docs.select(docs[text_col].alias("text"))
         found = ws.table(_find(texts, length, ws, kept=True).select("t1", "t2", "kept"), "found")
-        rows = _identified(docs, text_col)
         copies = _identified(texts.where(F.octet_length("text") >= length), "text").groupBy("t1", "t2").agg(F.count("*").alias("n")).where("n > 1").select("t1", "t2", F.lit(True).alias("copied"))
         changed = ws.table(found.join(copies, ["t1", "t2"], "full").select("t1", "t2", F.when(F.col("copied"), F.lit(b"")).otherwise(F.col("kept")).alias("kept")), "changed")
-        shared = _bitmap.build(changed, "t1", "t2")
-        same = _bitmap.only(rows, shared, ["t1", "t2"], False).drop("t1", "t2")
-        left = _bitmap.only(rows, shared, ["t1", "t2"], True).join(changed, ["t1", "t2"], "left")
+        shared = _id_map(changed)
+        same = _identified(docs, text_col, shared, False).drop("t1", "t2")
+        left = _identified(docs, text_col, shared).join(changed, ["t1", "t2"], "left")
         text = F.when(F.col("kept").isNull(), F.col(text_col)).otherwise(F.col("kept").cast("string"))
         left = left.withColumn(text_col, text)
         if size_col in docs.columns:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from linkloom.llm import _bytes as B
 from linkloom.llm import chat, decontaminate, mixture, ngram_join, quality_rules, suffix_dedup, token_counts, toxicity, url_lists, warc
+from linkloom.llm._workspace import Workspace
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, n long, size int, key string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -267,6 +268,44 @@ def test_strip_repeats(spark):
             assert size - 6 <= len(texts[i].encode()) <= size
 
 
+def python_steps_of_a_stage(df):
+    """The most Python steps that one task of the plan of ``df`` passes rows through; each has a worker of its own."""
+    most = 0
+
+    def walk(node):
+        nonlocal most
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(node.initialPlan())
+        below = [walk(node.children().apply(i)) for i in range(node.children().size())]
+        here = (max(below, default=0) if name == "Union" else sum(below)) + ("InArrow" in name)
+        most = max(most, here)
+        return 0 if "Exchange" in name else here
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return most
+
+
+def test_repeats_need_one_worker_a_core(spark, monkeypatch):
+    steps = {}
+
+    def noted(put):
+        def run(ws, df, name="result"):
+            steps[name] = python_steps_of_a_stage(df)
+            return put(ws, df, name) if name != "result" else put(ws, df)
+
+        return run
+
+    for name in ("table", "finish"):
+        monkeypatch.setattr(Workspace, name, noted(getattr(Workspace, name)))
+    table = docs(spark, repeat_corpus())
+    assert suffix_dedup.strip_repeats(table, 200).count()
+    assert {"texts", "found", "result"} <= set(steps) and max(steps.values()) == 1
+    steps.clear()
+    assert suffix_dedup.repeats(table, 400, passage=200).count()
+    assert {"texts", "rows"} <= set(steps) and max(steps.values()) == 1
+
+
 def test_suffix_array_and_kasai():
     rng = random.Random(5)
     for _ in range(40):
